@@ -105,10 +105,10 @@ SELECT 'addr' || lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS address,
 FROM part WHERE p_type = 'MEDIUM' AND p_size <= 4"""))
 def _(spark, sf):
     path = fresh_path(spark, "manual-json")
-    fx.manual_names(spark, sf).select(
-        "address", F.col("exchange_name").alias("entity_name"), F.lit("EXCHANGE").alias("entity_type"),
-        F.lit(False).alias("is_sanctioned")).write.json(path)
-    return readers.read_manual_attributions(spark, path).drop("abuse_category", "notes")
+    entry = F.struct("address", F.col("exchange_name").alias("entity_name"), F.lit("EXCHANGE").alias("entity_type"),
+                     F.lit(False).alias("is_sanctioned"))
+    fx.manual_names(spark, sf).select(F.to_json(F.array(entry)).alias("value")).write.text(path)
+    return readers.read_manual_attributions(spark, path, multi_line=False).drop("abuse_category", "notes")
 
 
 @query("s7_read_case_intake", sql("""

@@ -59,11 +59,11 @@ def read_policy(spark: SparkSession, path: str, **overrides: float) -> DataFrame
     return policy
 
 
-def read_manual_attributions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of analyst entries."""
+def read_manual_attributions(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """JSON arrays of analyst entries, one per file or, without ``multi_line``, one per line."""
     schema = ("address string, entity_name string, entity_type string, is_sanctioned boolean, "
               "abuse_category string, notes string")
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
 def read_case_intake(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
