@@ -24,4 +24,4 @@ def round_half_up(value: Column, digits: int) -> Column:
 
 def btc_text(btc: Column) -> Column:
     """Eight fixed decimals."""
-    return F.format_string("%.8f", btc.cast("decimal(28,8)"))
+    return F.format_string("%.8f", btc.cast("double"))

@@ -253,7 +253,7 @@ def _next_queue(outs: DataFrame, shown: DataFrame, facts: DataFrame) -> DataFram
 
 
 def hop_classify(items: DataFrame, facts: DataFrame) -> DataFrame:
-    """The record of each hop."""
+    """The record of each hop; a transaction without addressed outputs forwards to nobody."""
     is_exchange, is_pooling = F.col("has_exchange"), F.col("is_pooling")
     text = lambda exchange, pooling, plain: (
         F.when(is_exchange, exchange).when(is_pooling, pooling).otherwise(plain))
@@ -265,7 +265,8 @@ def hop_classify(items: DataFrame, facts: DataFrame) -> DataFrame:
               "This is consistent with exchange-internal consolidation or a mixing workflow."))
     found = F.concat(F.lit("Stolen funds flow into "), F.col("names"), F.lit(". Identified via "), hit["source"], F.lit("."))
     level = F.when(is_exchange | is_pooling, "L2").otherwise("L1")
-    rows = items.where("is_hop").join(facts.drop("from_sats"), ["case_id", "hop_no"])
+    flags = ["has_exchange", "is_pooling", "is_sanctioned"]
+    rows = items.where("is_hop").join(facts.drop("from_sats"), ["case_id", "hop_no"], "left").na.fill(False, flags)
     return rows.select(
         "case_id", "hop_no", "depth", F.col("spender").alias("txid"), F.col("address").alias("from_address"),
         text(F.concat(F.lit("Exchange deposit -> "), F.col("names")), F.lit(POOLING_LABEL), F.lit(FORWARD_LABEL)).alias("label"),
@@ -363,7 +364,7 @@ def trace_cases(ledger: Ledger, cases: DataFrame, attribution: DataFrame, max_ho
     hops, legs, ended = [], [], []
     for depth in range(1, max_hops + 2):
         items = materialize(_process(queue, visited, ledger, depth, max_hops), "trace-items")
-        ended.append(items.where(F.col("state").isin("unspent", "spent_unresolved", "unknown") & ~F.col("is_stub")))
+        ended.append(items.where(F.col("state").isin("unspent", "spent_unresolved", "unknown") & ~F.col("is_stub")).drop("hop_no"))
         if depth == 1:
             hops.append(_stubs(items, ledger.transactions))
             stub = items.where("is_stub").select("case_id", "hop_no", "address", "sats")
@@ -372,7 +373,7 @@ def trace_cases(ledger: Ledger, cases: DataFrame, attribution: DataFrame, max_ho
             break
         outs = materialize(_receivers_of(items, ledger, known), "trace-outs")
         shown = materialize(hop_outputs(outs), "trace-legs")
-        facts = materialize(hop_facts(outs), "trace-facts")
+        facts = hop_facts(outs)
         hops.append(hop_classify(items, facts))
         legs += [_leg(items.where("is_hop").select("case_id", "hop_no", "address", "sats"), "from"),
                  shown.withColumn("side", F.lit("to"))]
