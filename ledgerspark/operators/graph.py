@@ -1,12 +1,13 @@
 """Walks over the address graph, for any number of seeds at once.
 
-Reachability runs over the bipartite address -> transaction -> address structure, so a
-transaction with many inputs and outputs costs the sum of both, not their product.
-Only the operators whose result *is* the pairs (edges, path counts) build address pairs.
+Reachability passes a transaction with many inputs and outputs as address -> transaction
+-> address, which costs the sum of both sides and not their product. Only the operators
+whose result *is* the pairs (edges, path counts) build all address pairs.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -36,28 +37,90 @@ def address_tx_projection(inputs: DataFrame) -> DataFrame:
     return spenders(inputs).distinct()
 
 
+# A transaction is stored as address pairs while they are at most this many times its legs.
+PAIRS_PER_LEG = 8
+
+
+@dataclass(frozen=True)
+class HopIndex:
+    """One hop of the address graph, prepared once for many seeds.
+
+    ``pairs`` (address, next) covers the transactions whose pairs are few; their number is
+    at most PAIRS_PER_LEG times the number of legs. The others keep their legs:
+    ``entries`` (address, txid) and ``exits`` (txid, next).
+    """
+
+    pairs: DataFrame
+    entries: DataFrame
+    exits: DataFrame
+
+    def towards(self, targets: DataFrame) -> HopIndex:
+        """The hops that end at one of ``targets`` (address)."""
+        wanted = targets.select(F.col("address").alias("next")).distinct()
+        only = lambda df: df.join(wanted, "next", "left_semi")
+        return HopIndex(only(self.pairs), self.entries, only(self.exits))
+
+
+def unprepared(inputs: DataFrame, outputs: DataFrame) -> HopIndex:
+    """The legs as they are: nothing is computed ahead, as suits a few seeds."""
+    legs = receivers(outputs).withColumnRenamed("address", "next")
+    nothing = legs.select(F.col("next").alias("address"), "next").limit(0)
+    return HopIndex(nothing, spenders(inputs), legs)
+
+
+def hop_index(inputs: DataFrame, outputs: DataFrame) -> HopIndex:
+    """Prepare :class:`HopIndex` with one pass over the ledger and write it to the workspace."""
+    entries = spenders(inputs).distinct()
+    exits = receivers(outputs).distinct().withColumnRenamed("address", "next")
+    size = lambda df, name: df.groupBy("txid").agg(F.count(F.lit(1)).alias(name))
+    sizes = size(entries, "n").join(size(exits, "m"), "txid")
+    is_light = F.col("n") * F.col("m") <= PAIRS_PER_LEG * (F.col("n") + F.col("m"))
+    sizes = materialize(sizes.select("txid", is_light.alias("is_light")), "tx-sizes")
+    light, heavy = sizes.where("is_light").select("txid"), sizes.where("NOT is_light").select("txid")
+    pairs = (
+        entries.join(light, "txid").join(exits, "txid").where(F.col("address") != F.col("next"))
+        .select("address", "next").distinct()
+    )
+    return HopIndex(
+        materialize(pairs, "hop-pairs"), materialize(entries.join(heavy, "txid", "left_semi"), "hop-entries"),
+        materialize(exits.join(heavy, "txid", "left_semi"), "hop-exits"))
+
+
 def start(seeds: DataFrame) -> DataFrame:
     return seeds.select("seed").distinct().select(
         "seed", F.col("seed").alias("address"), F.lit(0).alias("min_hop"))
 
 
-def next_level(frontier: DataFrame, visited: DataFrame, inputs: DataFrame, outputs: DataFrame, hop: int) -> DataFrame:
+def next_level(frontier: DataFrame, visited: DataFrame, index: HopIndex, hop: int) -> DataFrame:
     """Addresses first reached at ``hop``, given those first reached one hop earlier."""
-    entered = frontier.join(spenders(inputs), "address").select("seed", "txid").distinct()
-    reached = entered.join(receivers(outputs), "txid").select("seed", "address").distinct()
+    along = frontier.join(index.pairs, "address").select("seed", F.col("next").alias("address"))
+    entered = frontier.join(index.entries, "address").select("seed", "txid").distinct()
+    through = entered.join(index.exits, "txid").select("seed", F.col("next").alias("address"))
+    reached = along.unionByName(through).distinct()
     return reached.join(visited, ["seed", "address"], "left_anti").withColumn("min_hop", F.lit(hop))
 
 
-def reachable(seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_hops: int = 3) -> DataFrame:
-    """(seed, address, min_hop), breadth first; the seed itself has hop 0."""
+def reach_levels(
+    seeds: DataFrame, index: HopIndex, max_hops: int, targets: DataFrame | None = None
+) -> list[DataFrame]:
+    """The breadth-first levels, each written to the workspace; the last only towards ``targets`` if given."""
     levels = [materialize(start(seeds), "reach")]
     for hop in range(1, max_hops + 1):
         visited = reduce(DataFrame.unionByName, levels)
-        level = materialize(next_level(levels[-1], visited, inputs, outputs, hop), "reach")
+        step = index if targets is None or hop < max_hops else index.towards(targets)
+        level = materialize(next_level(levels[-1], visited, step, hop), "reach")
         if level.isEmpty():
             break
         levels.append(level)
-    return reduce(DataFrame.unionByName, levels)
+    return levels
+
+
+def reachable(
+    seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_hops: int = 3, index: HopIndex | None = None
+) -> DataFrame:
+    """(seed, address, min_hop), breadth first; the seed itself has hop 0."""
+    index = index or unprepared(inputs, outputs)
+    return reduce(DataFrame.unionByName, reach_levels(seeds, index, max_hops))
 
 
 def bounded_walk(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
@@ -80,7 +143,8 @@ def _extend(paths: DataFrame, edges: DataFrame, hop: int) -> DataFrame:
 
 
 def k_hop_exposure(
-    seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_hops: int = 3, limit: int = 100
+    seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_hops: int = 3, limit: int = 100,
+    index: HopIndex | None = None,
 ) -> DataFrame:
     """Per seed the nearest addresses with the number of simple paths to them.
 
@@ -88,7 +152,7 @@ def k_hop_exposure(
     one edge to a path, less those that step back onto the path. Both counts combine
     before the shuffle, so the largest level is never written.
     """
-    inner = reachable(seeds, inputs, outputs, max_hops - 1)
+    inner = reachable(seeds, inputs, outputs, max_hops - 1, index)
     sources = inner.select("address").distinct()
     edges = materialize(address_edges(inputs.join(sources, "address", "left_semi"), outputs), "edges")
     walks = bounded_walk(seeds, edges, max_hops - 1)

@@ -215,7 +215,7 @@ class Absence(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.last.update((newest,))
         self.handle.registerTimer(newest + self.millis)
-        yield pd.DataFrame({"source": [], "silent_from": []})
+        return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         since = pd.Timestamp(int(self.last.get()[0]), unit="ms")

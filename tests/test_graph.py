@@ -50,6 +50,9 @@ def test_walk_reach_and_exposure_agree_with_path_listing(spark, max_hops):
         assert {a: v for (s, a), v in exposure.items() if s == name} == want
         assert {a: h for (s, a), h in reach.items() if s == name and h > 0} == {a: h for a, (h, _) in want.items()}
         assert reach[name, name] == 0
+    index = graph.hop_index(inputs, outputs)
+    indexed = graph.reachable(seeds_of(spark, names), inputs, outputs, max_hops, index).collect()
+    assert {(r.seed, r.address): r.min_hop for r in indexed} == reach
 
 
 def test_cycle_back_to_the_seed_and_self_change(spark):
@@ -64,6 +67,18 @@ def test_hub_transaction_reaches_without_pairs(spark):
     inputs, outputs = tables(spark, [("hub", many, [f"o{n}" for n in range(300)])])
     reach = graph.reachable(seeds_of(spark, ["i0", "i1"]), inputs, outputs, 2)
     assert reach.where("min_hop = 1").count() == 600
+    small, _ = tables(spark, [("t", ["o0"], ["z"])])
+    index = graph.hop_index(inputs.unionByName(small), outputs)
+    assert index.pairs.count() == 0 and index.entries.count() == 300 and index.exits.count() == 300
+    assert graph.reachable(seeds_of(spark, ["i0", "i1"]), inputs, outputs, 2, index).where("min_hop = 1").count() == 600
+
+
+def test_targets_limit_only_the_last_level(spark):
+    inputs, outputs = tables(spark, [("t1", ["s"], ["a", "b"]), ("t2", ["a"], ["c", "d"])])
+    targets = spark.createDataFrame([("d",)], "address string")
+    for index in (graph.hop_index(inputs, outputs), graph.unprepared(inputs, outputs)):
+        levels = graph.reach_levels(seeds_of(spark, ["s"]), index, 2, targets)
+        assert [{r.address for r in level.collect()} for level in levels] == [{"s"}, {"a", "b"}, {"d"}]
 
 
 def test_features_stop_early_but_keep_order(spark):
@@ -80,8 +95,9 @@ def test_features_stop_early_but_keep_order(spark):
             near = sorted((min(hops[seed, a] for a in i if (seed, a) in hops), t)
                           for t, i, _ in txs if any((seed, a) in hops for a in i))
             want[seed] = near[:limit]
-        for given in (None, reach):
-            rows = patterns.pattern_features(led, seeds, 3, limit, given).collect()
+        levels = graph.reach_levels(seeds, graph.unprepared(inputs, outputs), 2)
+        for index, known in ((None, None), (graph.hop_index(inputs, outputs), None), (None, levels)):
+            rows = patterns.pattern_features(led, seeds, 3, limit, index, known).collect()
             got = {}
             for r in rows:
                 got.setdefault(r.seed, []).append((r.min_hop, r.txid))

@@ -51,7 +51,7 @@ def test_repeated_and_late_rows(spark, tmp_path):
     at = lambda n: START + timedelta(minutes=n)
     schema = "event_id bigint, ts timestamp, status_code int, latency_s double"
     batches = [[(1, at(0), 500, 1.0), (1, at(0), 500, 1.0), (2, at(1), 200, 1.0)], [(3, at(60), 200, 1.0)],
-               [(4, at(2), 500, 1.0), (5, at(120), 200, 1.0)], [(6, at(240), 200, 1.0)]]
+               [(7, at(70), 200, 1.0)], [(8, at(80), 200, 1.0)], [(4, at(2), 500, 1.0), (5, at(120), 200, 1.0)], [(6, at(240), 200, 1.0)]]
     stream = source(spark, tmp_path, batches, schema)
     out = run(metrics.error_rate(metrics.with_watermark(stream)), tmp_path, "rate")
     first = spark.read.parquet(out).where(F.col("window_start") == F.lit(at(0))).first()
