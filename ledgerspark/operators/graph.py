@@ -149,19 +149,24 @@ def k_hop_exposure(
     """Per seed the nearest addresses with the number of simple paths to them.
 
     Paths are listed only up to ``max_hops - 1``. The last hop is counted: walks that add
-    one edge to a path, less those that step back onto the path. Both counts combine
-    before the shuffle, so the largest level is never written.
+    one edge to a path, less those that step back onto the path. A seed with ``limit``
+    nearer addresses can keep none that is first reached by the last hop, so for it that hop
+    is counted only towards the nearer ones.
     """
     inner = reachable(seeds, inputs, outputs, max_hops - 1, index)
     sources = inner.select("address").distinct()
     edges = materialize(address_edges(inputs.join(sources, "address", "left_semi"), outputs), "edges")
     walks = bounded_walk(seeds, edges, max_hops - 1)
-    counts = walks.where(F.col("hop") > 0).groupBy("seed", "address").agg(
-        F.count(F.lit(1)).alias("paths"), F.min("hop").alias("hop"))
+    counts = materialize(walks.where(F.col("hop") > 0).groupBy("seed", "address").agg(
+        F.count(F.lit(1)).alias("paths"), F.min("hop").alias("hop")), "near-counts")
+    full = counts.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit).select("seed")
     last = walks.where(F.col("hop") == max_hops - 1)
     ends = last.groupBy("seed", "address").agg(F.count(F.lit(1)).alias("paths"))
-    steps = ends.join(edges, F.col("address") == F.col("src")).select(
+    step = lambda df: df.join(edges, F.col("address") == F.col("src")).select(
         "seed", F.col("dst").alias("address"), "paths")
+    near = counts.select("seed", "address")
+    steps = step(ends.join(full, "seed", "left_semi")).join(near, ["seed", "address"], "left_semi").unionByName(
+        step(ends.join(full, "seed", "left_anti")))
     back = (
         last.select("seed", F.col("address").alias("src"), F.explode("path").alias("dst"))
         .join(edges, ["src", "dst"], "left_semi")

@@ -50,6 +50,11 @@ def test_walk_reach_and_exposure_agree_with_path_listing(spark, max_hops):
         assert {a: v for (s, a), v in exposure.items() if s == name} == want
         assert {a: h for (s, a), h in reach.items() if s == name and h > 0} == {a: h for a, (h, _) in want.items()}
         assert reach[name, name] == 0
+    for limit in (1, 3, 6):
+        rows = graph.k_hop_exposure(seeds_of(spark, names), inputs, outputs, max_hops, limit).orderBy("seed", "rank").collect()
+        for name in names:
+            want = sorted(simple_paths(edges, name, max_hops).items(), key=lambda kv: (kv[1][0], -kv[1][1], kv[0]))[:limit]
+            assert [(r.address, (r.min_hop, r.path_count)) for r in rows if r.seed == name] == want
     index = graph.hop_index(inputs, outputs)
     indexed = graph.reachable(seeds_of(spark, names), inputs, outputs, max_hops, index).collect()
     assert {(r.seed, r.address): r.min_hop for r in indexed} == reach
