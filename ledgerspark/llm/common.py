@@ -79,7 +79,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         shelf.drop(links, large)
         links = small
         # Done when every node has one parent and no parent has a parent.
-        state = links.agg(F.count(F.lit(1)), F.sum("v"), F.sum("u"), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first()
+        state = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u")), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == last:
             return links.select(F.col("v").alias("node"), F.col("u").alias("component")).union(
                 links.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct())
