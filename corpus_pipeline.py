@@ -1,12 +1,46 @@
-"""Cleaning a corpus: toxic documents go, near copies, leaked benchmark items and secrets after them, then packing."""
+"""Cleaning a corpus: toxic documents go, then near copies and leaked benchmark items, secrets are blanked, the rest is packed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerspark.llm import decontaminate, packing, secrets, simhash, toxicity
 from ledgerspark.llm.common import Shelf, table
 
-STAGES = []
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents scored below the threshold; the network learns from those of ``docs`` that have labels."""
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net).where(f"_score < {toxicity.THRESHOLD}").drop("_score")
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.one_of_each(docs)
+
+
+def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced."""
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", keep_clean),
+    ("simhash", keep_one_of_each),
+    ("decontamination", keep_unleaked),
+    ("secrets", blank_secrets),
+    ("packing", pack),
+]
 ORACLE_SQL = None
 
 

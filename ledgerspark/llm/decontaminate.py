@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import Shelf
+from ledgerspark.llm.common import Shelf, with_key
 
 WINDOW = 5
 SHARE = 0.8
@@ -68,11 +68,6 @@ def _item_windows(benchmark: DataFrame) -> DataFrame:
     return each.join(each.groupBy("item_id").agg(F.count(F.lit(1)).alias("n")), "item_id")
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_key``: the text's hash, which with ``doc_id`` names a row up to repetition."""
-    return docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, _key, item_id, start, share): the items that documents hold, ``start`` being the word they begin at."""
     spark = docs.sparkSession

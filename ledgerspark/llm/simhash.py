@@ -27,11 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import Shelf, components, slices
+from ledgerspark.llm.common import Shelf, components, slices, with_key
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
+BROADCAST_ROWS = 100_000
+"""Rows of dropped documents up to which they are sent to all tasks; more are joined by a shuffle."""
 BLOCK = 2048
 """Fingerprints that one side of a comparison holds."""
 
@@ -59,13 +61,14 @@ def _fingerprints(batches):
         for batch in slices(whole):
             prints = [fingerprint(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+                [batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64))],
+                names=["doc_id", "_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the 64-bit fingerprint as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _fingerprints, "doc_id long, fp long")
+    """(doc_id, _key, fp): the 64-bit fingerprint as a signed long, ``_key`` being the hash of the text."""
+    return with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(
+        _fingerprints, "doc_id long, _key long, fp long")
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -254,7 +257,7 @@ def _by_bucket(frames):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id): each document with the least ``doc_id`` that links of at most DISTANCE bits reach."""
+    """(doc_id, _key, fp, component, component_id): each document with the least ``doc_id`` that links of at most DISTANCE bits reach."""
     spark = docs.sparkSession
     shelf = Shelf(spark)
     marked = shelf.put(fingerprints(docs), "prints")
@@ -264,5 +267,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = different.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp"))
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    ids = shelf.put(named.join(names, "component").select("fp", "component_id"), "classes")
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    ids = shelf.put(named.join(names, "component").select("fp", "component", "component_id"), "classes")
+    return marked.join(ids, "fp").select("doc_id", "_key", "fp", "component", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group: the least ``doc_id`` (rows without one last), of repeated rows one."""
+    shelf = Shelf(docs.sparkSession)
+    groups = shelf.put(near_duplicates(docs).groupBy("component", "doc_id", "_key").agg(F.count(F.lit(1)).alias("n")), "groups")
+    order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_key", "n")
+    first = groups.groupBy("component").agg(F.min(order).alias("first")).select("component", "first.*")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_key"] == b["_key"])
+    g, f = groups.alias("g"), first.alias("f")
+    gone = g.join(f, (F.col("g.component") == F.col("f.component")) & same(groups, first), "left_anti").select(
+        F.col("doc_id").alias("_d"), F.col("_key").alias("_k"))
+    gone = shelf.put(gone, "gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = with_key(docs).join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti")
+    twice = first.where("n > 1").select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"))
+    if twice.isEmpty():
+        return kept.drop("_key")
+    met = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
+    return kept.join(twice, met, "left_anti").unionByName(
+        kept.join(twice, met, "left_semi").dropDuplicates(["doc_id", "_key"])).drop("_key")
