@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import decontaminate, packing, secrets, simhash, toxicity
+from ledgerspark.llm import decontaminate, packing, secrets, simhash, toxicity, urlrules
 from ledgerspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,9 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that hold benchmark items, with the items."""
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", F.col("start").cast("long").alias("start"), "share")
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
