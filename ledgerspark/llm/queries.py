@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import decontaminate, packing, secrets, simhash, toxicity, urlrules
+from ledgerspark.llm import chat, decontaminate, packing, secrets, simhash, toxicity, urlrules
 from ledgerspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return urlrules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of all turns, recovered without looking at the given ones, learnt from a fifth of the conversations."""
+    turns = table(spark, sf_dir, "conversations")
+    known = turns.where(F.pmod(F.xxhash64("conv_id"), F.lit(5)) == 0)
+    return chat.parse(turns, known)
