@@ -21,10 +21,10 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import Shelf
+from ledgerspark.llm.common import Shelf, runs
 
 ROLES = ["system", "user", "assistant", "tool"]
 CHUNK = 256
@@ -139,25 +139,6 @@ def decode(steps: list[np.ndarray], entry: int, leave: int) -> list[int]:
     return out[::-1]
 
 
-def _runs(frames, keys: list[str]):
-    """Runs of rows with equal keys from frames sorted by them; a run may cross frames."""
-    held, last = [], None
-    for pdf in frames:
-        if not len(pdf):
-            continue
-        k = pdf[keys].to_numpy()
-        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            now = tuple(k[a].tolist())
-            if held and now != last:
-                yield last, pd.concat(held) if len(held) > 1 else held[0]
-                held = []
-            last = now
-            held.append(pdf.iloc[a:b])
-    if held:
-        yield last, pd.concat(held) if len(held) > 1 else held[0]
-
-
 _LEVEL = "k long, single boolean, piece long, m array<double>"
 _START = len(ROLES)
 
@@ -173,12 +154,12 @@ def recover(observed: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
 
     def sum_up(frames):
         out = [(k, single, piece, through(p, _emissions(p, g["mark"].to_numpy(), g["line"].to_numpy())).ravel().tolist())
-               for (k, single, piece), g in _runs(frames, ["k", "single", "piece"])]
+               for (k, single, piece), g in runs(frames, ["k", "single", "piece"])]
         yield pd.DataFrame(out, columns=["k", "single", "piece", "m"])
 
     def sum_pieces(frames):
         out = []
-        for (k, single, piece), g in _runs(frames, ["k", "single", "piece"]):
+        for (k, single, piece), g in runs(frames, ["k", "single", "piece"]):
             steps = [np.array(m).reshape(size, -1) for m in g["m"]]
             best = steps[0]
             for step in steps[1:]:
@@ -188,7 +169,7 @@ def recover(observed: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
 
     def fix_pieces(frames):
         out = []
-        for (k, single, _), g in _runs(frames, ["k", "single", "piece"]):
+        for (k, single, _), g in runs(frames, ["k", "single", "piece"]):
             entry, leave = int(g["entry"].iloc[0]), int(g["leave"].iloc[0])
             roles = decode([np.array(m).reshape(size, -1) for m in g["m"]], entry, leave)
             out += [(k, single, child, a, b) for child, a, b in zip(g["child"], [entry, *roles[:-1]], roles, strict=True)]
@@ -210,7 +191,7 @@ def recover(observed: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
             fix_pieces, "k long, single boolean, piece long, entry int, leave int"), "borders")
 
     def fix_segments(frames):
-        for (_, _, _), g in _runs(frames, ["k", "single", "piece"]):
+        for (_, _, _), g in runs(frames, ["k", "single", "piece"]):
             e = _emissions(p, g["mark"].to_numpy(), g["line"].to_numpy())
             steps = [_steps(p) + x for x in e]
             roles = decode(steps, int(g["entry"].iloc[0]), int(g["leave"].iloc[0]))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,25 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20) ->
         yield batch.slice(begin)
 
 
+def runs(frames, keys: list[str]):
+    """Runs of rows with equal keys from frames sorted by them; a run may cross frames."""
+    held, last = [], None
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        k = pdf[keys].to_numpy()
+        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(k[a].tolist())
+            if held and now != last:
+                yield last, pd.concat(held) if len(held) > 1 else held[0]
+                held = []
+            last = now
+            held.append(pdf.iloc[a:b])
+    if held:
+        yield last, pd.concat(held) if len(held) > 1 else held[0]
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes that ``edges`` (a, b: long) name; the component is its smallest node.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import chat, decontaminate, packing, secrets, simhash, toxicity, urlrules
+from ledgerspark.llm import chat, decontaminate, packing, secrets, simhash, toxicity, urlrules, vectors
 from ledgerspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     known = turns.where(F.pmod(F.xxhash64("conv_id"), F.lit(5)) == 0)
     return chat.parse(turns, known)
+
+
+@query
+def op5_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return vectors.link(table(spark, sf_dir, "embeddings"))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import Shelf, components, slices, with_key
+from ledgerspark.llm.common import Shelf, components, runs, slices, with_key
 
 SHINGLE = 4
 SEED = 42
@@ -233,27 +233,8 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def _by_bucket(frames):
-    """Runs of rows with one bucket and block pair, which lie together; a run may cross frames."""
-    keys = ["part", "masked", "key", "x", "y"]
-    held: list[pd.DataFrame] = []
-    last = None
-    for pdf in frames:
-        if not len(pdf):
-            continue
-        k = pdf[keys].to_numpy()
-        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(pdf)]
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            now = tuple(k[a].tolist())
-            if last is not None and now != last:
-                out.append(_forest(pd.concat(held) if len(held) > 1 else held[0]))
-                held = []
-            last = now
-            held.append(pdf.iloc[a:b])
-        if out:
-            yield pd.concat(out)
-    if held:
-        yield _forest(pd.concat(held))
+    for _, pdf in runs(frames, ["part", "masked", "key", "x", "y"]):
+        yield _forest(pdf)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
