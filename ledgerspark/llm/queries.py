@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import chat, decontaminate, packing, secrets, simhash, toxicity, urlrules, vectors
+from ledgerspark.llm import chat, decontaminate, packing, repeats, secrets, simhash, toxicity, urlrules, vectors
 from ledgerspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
     return vectors.link(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to passages that occur earlier."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
