@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import chat, decontaminate, packing, repeats, secrets, simhash, toxicity, urlrules, vectors
+from ledgerspark.llm import chat, decontaminate, packing, repeats, secrets, simhash, surrogates, toxicity, urlrules, vectors
 from ledgerspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,9 @@ def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses to passages that occur earlier."""
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced."""
+    return surrogates.replace_personal_data(table(spark, sf_dir, "documents"), key="demonstration key, to be replaced")
