@@ -10,8 +10,7 @@ from ledgerspark.llm.common import Shelf, table
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents scored below the threshold; the network learns from those of ``docs`` that have labels."""
-    net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, net).where(f"_score < {toxicity.THRESHOLD}").drop("_score")
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

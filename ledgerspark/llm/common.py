@@ -39,6 +39,11 @@ class Shelf:
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def apart(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns other than ``doc_id`` and ``text`` under names that clash with none in use, and the true names."""
+    return docs.toDF(*[n if n in ("doc_id", "text") else f"other{i}" for i, n in enumerate(docs.columns)]), docs.columns
+
+
 def with_key(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_key``: the text's hash, which with ``doc_id`` names a row up to repetition."""
     return docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import Shelf, with_key
+from ledgerspark.llm.common import Shelf, apart, with_key
 
 WINDOW = 5
 SHARE = 0.8
@@ -120,7 +120,8 @@ def _consistent(keyed: DataFrame, found: DataFrame, slots: DataFrame) -> DataFra
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
+    docs, names = apart(docs)
     found = leaks(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct()
     found = Shelf(docs.sparkSession).put(found, "leaked")
     side = F.broadcast(found) if found.count() <= BROADCAST_LEAKS else found
-    return with_key(docs).join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti").drop("_key")
+    return with_key(docs).join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti").drop("_key").toDF(*names)

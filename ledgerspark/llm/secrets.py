@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import Shelf, slices
+from ledgerspark.llm.common import Shelf, apart, slices
 
 SCOPE = 400
 """Code points that two parts of one credential may lie apart."""
@@ -175,9 +175,10 @@ def _redact(batches):
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each reported span replaced by its kind in brackets; all rows and columns stay."""
+    docs, names = apart(docs)
     found = find_secrets(docs).where("spans <> ''").groupBy("digest").agg(F.min("spans").alias("_spans"))
     found = Shelf(docs.sparkSession).put(found, "spans")
     side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     joined = docs.withColumn("_digest", digest).join(side.withColumnRenamed("digest", "_digest"), "_digest", "left")
-    return joined.select(*docs.columns, "_spans").mapInArrow(_redact, docs.schema)
+    return joined.select(*docs.columns, "_spans").mapInArrow(_redact, docs.schema).toDF(*names)

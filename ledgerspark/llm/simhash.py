@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import Shelf, components, runs, slices, with_key
+from ledgerspark.llm.common import Shelf, apart, components, runs, slices, with_key
 
 SHINGLE = 4
 SEED = 42
@@ -255,6 +255,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: the least ``doc_id`` (rows without one last), of repeated rows one."""
     shelf = Shelf(docs.sparkSession)
+    docs, names = apart(docs)
     groups = shelf.put(near_duplicates(docs).groupBy("component", "doc_id", "_key").agg(F.count(F.lit(1)).alias("n")), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "_key", "n")
     first = groups.groupBy("component").agg(F.min(order).alias("first")).select("component", "first.*")
@@ -267,7 +268,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     kept = with_key(docs).join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left_anti")
     twice = first.where("n > 1").select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k"))
     if twice.isEmpty():
-        return kept.drop("_key")
+        return kept.drop("_key").toDF(*names)
     met = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k"))
     return kept.join(twice, met, "left_anti").unionByName(
-        kept.join(twice, met, "left_semi").dropDuplicates(["doc_id", "_key"])).drop("_key")
+        kept.join(twice, met, "left_semi").dropDuplicates(["doc_id", "_key"])).drop("_key").toDF(*names)

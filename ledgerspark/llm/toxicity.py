@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import slices
+from ledgerspark.llm.common import apart, slices
 
 WINDOW = 32
 STRIDE = 16
@@ -300,3 +300,9 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_score"])
 
     return docs.mapInArrow(run, fields)
+
+
+def keep_clean(docs: DataFrame, net: Network | None) -> DataFrame:
+    """``docs`` without those that score THRESHOLD or more."""
+    docs, names = apart(docs)
+    return score(docs, net).where(F.col("_score") < THRESHOLD).drop("_score").toDF(*names)
