@@ -38,7 +38,9 @@ ATTENTION = 8
 SAMPLE = 3000
 """Training documents of either label."""
 THRESHOLD = 0.3
-EPOCHS = 12
+BATCH = 128
+EPOCHS, STEPS = 12, 900
+"""Training goes on for so many rounds over the sample, and so many steps, at least."""
 REMEMBERED = 1_000_000
 """Words whose inputs a task remembers."""
 
@@ -141,13 +143,14 @@ def forward(w: dict[str, np.ndarray], x: np.ndarray, keep: dict | None = None) -
     return pooled @ w["o"] + w["k"]
 
 
-def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean logistic loss and its gradient by backpropagation through time."""
+def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0
+              ) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean weighted logistic loss and its gradient by backpropagation through time."""
     keep: dict = {}
     logit = forward(w, x, keep)
     p = _sigmoid(logit)
-    loss = float(np.mean(np.logaddexp(0, logit) - y * logit))
-    d = ((p - y) / len(y)).astype(np.float32)
+    loss = float(np.mean(weight * (np.logaddexp(0, logit) - y * logit)))
+    d = (weight * (p - y) / len(y)).astype(np.float32)
     states, u, alpha, pooled = (keep[k] for k in ("states", "u", "alpha", "pooled"))
     g = {"o": pooled.T @ d, "k": np.array([d.sum()])}
     dpool = d[:, None] * w["o"]
@@ -178,7 +181,7 @@ def gradients(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[f
 
 
 def _sureness(docs: list[tuple[set[str], int]]) -> list[dict[str, float]]:
-    """Per channel: a cautious log odds (1.5 standard errors less) of being in a toxic text, where above zero."""
+    """Per channel: a cautious log odds (2.5 standard errors less) of being in a toxic text, where above zero."""
     out = []
     for n in (0, *GRAMS):
         seen = (Counter(), Counter())
@@ -189,7 +192,7 @@ def _sureness(docs: list[tuple[set[str], int]]) -> list[dict[str, float]]:
         sure = {}
         for item, p in seen[1].items():
             q = seen[0][item]
-            s = math.log((p + 0.5) / (q + 0.5)) + scale - 1.5 * math.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
+            s = math.log((p + 0.5) / (q + 0.5)) + scale - 2.5 * math.sqrt(1 / (p + 0.5) + 1 / (q + 0.5))
             if s > 0:
                 sure[item] = s
         out.append(sure)
@@ -211,8 +214,10 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Network |
     chosen = [a[np.argmax(table[a].sum(axis=(1, 2)))] for a in windows]
     m, s, step = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2)), {}, 0
     m, s = m
-    for epoch in range(EPOCHS):
-        if epoch in (4, 8):  # the worst window by the network so far
+    epochs = max(EPOCHS, -(-STEPS * BATCH // len(y)))
+    weight = len(y) / 2 / np.array([(y == 0).sum(), (y == 1).sum()], np.float32)  # either label counts for half
+    for epoch in range(epochs):
+        if epoch in (epochs // 3, 2 * epochs // 3):  # the worst window by the network so far
             flat = np.concatenate(windows)
             busy = np.flatnonzero(flat.any(axis=1))
             logit = np.full(len(flat), float(forward(w, table[np.zeros((1, WINDOW), int)])[0]), np.float32)
@@ -225,9 +230,9 @@ def train(texts: list[str | None], toxic: list[int], seed: int = 7) -> Network |
         x, labels = np.concatenate([x, np.zeros((max(1, len(x) // 20), WINDOW), x.dtype)]), np.concatenate(
             [y, np.zeros(max(1, len(x) // 20), np.float32)])
         order = rng.permutation(len(x))
-        for i in range(0, len(order), 128):
-            some = order[i:i + 128]
-            _, g = gradients(w, table[x[some]], labels[some])
+        for i in range(0, len(order), BATCH):
+            some = order[i:i + BATCH]
+            _, g = gradients(w, table[x[some]], labels[some], weight[labels[some].astype(int)])
             step += 1
             for k in w:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
