@@ -76,7 +76,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = shelf.put(_item_windows(benchmark), "items")
     side = F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items
     windows = templates(keyed, ["doc_id", "_key"]).select("doc_id", "_key", F.posexplode(_windows(F.col("words"))).alias("place", "h"))
-    hits = windows.join(side, "h").select("doc_id", "_key", "item_id", "n", "at", (F.col("place") - F.col("at")).alias("start"))
+    hits = shelf.put(windows.join(side, "h").select(
+        "doc_id", "_key", "item_id", "n", "at", (F.col("place") - F.col("at")).alias("start")), "hits")
     lines = hits.groupBy("doc_id", "_key", "item_id", "n", "start").agg(F.count_distinct("at").alias("met"))
     # Small changes of length move the rest of an item, so its windows are counted over all starts; the best start aligns slots.
     whole = hits.groupBy("doc_id", "_key", "item_id", "n").agg(F.count_distinct("at").alias("met")).where(
