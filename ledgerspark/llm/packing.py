@@ -35,7 +35,7 @@ STEP = 8
 DEPTH = 3
 GROUP = 50_000
 """Rests that one greedy task packs, about."""
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 """Words whose ids a task remembers."""
 
 

@@ -41,7 +41,7 @@ THRESHOLD = 0.3
 BATCH = 128
 EPOCHS, STEPS = 12, 900
 """Training goes on for so many rounds over the sample, and so many steps, at least."""
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 """Words whose inputs a task remembers."""
 
 _WORD = re.compile(r"\w+")
@@ -78,8 +78,6 @@ class Network:
     def encode(self, words: list[str]) -> np.ndarray:
         """Each word as the number of its input; words with equal inputs share one, 0 for none of the channels."""
         ids = self.ids
-        if len(ids) > REMEMBERED:
-            ids.clear()
         for word in set(words).difference(ids):
             x = self.input_of(word)
             if x not in self.rows:
@@ -88,6 +86,13 @@ class Network:
             ids[word] = self.rows[x]
         return np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
 
+    def forget(self) -> None:
+        """Drop what was remembered of words; numbers given out before are void."""
+        self.ids.clear()
+        del self.table[1:]
+        self.rows.clear()
+        self.rows[self.table[0]] = 0
+
     def inputs(self, ids: np.ndarray) -> np.ndarray:
         return np.array(self.table, np.float32)[ids]
 
@@ -245,6 +250,8 @@ def score_texts(net: Network | None, texts: list[str | None]) -> np.ndarray:
     """The worst window's score of each text. Windows of words that no channel knows have one common score, computed once."""
     if net is None:
         return np.zeros(len(texts))
+    if len(net.ids) > REMEMBERED:
+        net.forget()
     split = [words_of(t) for t in texts]
     ids = net.encode([x for words in split for x in words])
     ends = np.cumsum([len(x) for x in split])
@@ -303,6 +310,8 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
             for batch in slices(whole):
                 scores = score_texts(shared.value, batch.column(batch.schema.get_field_index("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_score"])
+        if shared.value is not None:
+            shared.value.forget()  # the worker goes on to other tasks
 
     return docs.mapInArrow(run, fields)
 
