@@ -26,11 +26,12 @@ def ranked(df: DataFrame, keys: list[str], coarse: str, order: list, out: str) -
     )
 
 
-def top_per(df: DataFrame, keys: list[str], order: list[Column], limit: int, out: str = "rank") -> DataFrame:
-    """The first ``limit`` rows of each group, numbered from 1.
+def top_per(df: DataFrame, keys: list[str], order: list[Column], limit: int | None, out: str = "rank") -> DataFrame:
+    """The first ``limit`` rows of each group, numbered from 1; without a limit all rows.
 
     Spark trims every input partition to ``limit`` rows per group before the shuffle
     (WindowGroupLimit), so a hot group never moves whole.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= limit)
+    numbered = df.withColumn(out, F.row_number().over(w))
+    return numbered if limit is None else numbered.where(F.col(out) <= limit)

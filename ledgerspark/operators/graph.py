@@ -7,13 +7,13 @@ whose result *is* the pairs (edges, path counts) build all address pairs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.rank import top_per
+from ledgerspark.operators.sweep import Sweep, expanded, sweep
 from ledgerspark.session import materialize
 
 
@@ -37,90 +37,12 @@ def address_tx_projection(inputs: DataFrame) -> DataFrame:
     return spenders(inputs).distinct()
 
 
-# A transaction is stored as address pairs while they are at most this many times its legs.
-PAIRS_PER_LEG = 8
-
-
-@dataclass(frozen=True)
-class HopIndex:
-    """One hop of the address graph, prepared once for many seeds.
-
-    ``pairs`` (address, next) covers the transactions whose pairs are few; their number is
-    at most PAIRS_PER_LEG times the number of legs. The others keep their legs:
-    ``entries`` (address, txid) and ``exits`` (txid, next).
-    """
-
-    pairs: DataFrame
-    entries: DataFrame
-    exits: DataFrame
-
-    def towards(self, targets: DataFrame) -> HopIndex:
-        """The hops that end at one of ``targets`` (address)."""
-        wanted = targets.select(F.col("address").alias("next")).distinct()
-        only = lambda df: df.join(wanted, "next", "left_semi")
-        return HopIndex(only(self.pairs), self.entries, only(self.exits))
-
-
-def unprepared(inputs: DataFrame, outputs: DataFrame) -> HopIndex:
-    """The legs as they are: nothing is computed ahead, as suits a few seeds."""
-    legs = receivers(outputs).withColumnRenamed("address", "next")
-    nothing = legs.select(F.col("next").alias("address"), "next").limit(0)
-    return HopIndex(nothing, spenders(inputs), legs)
-
-
-def hop_index(inputs: DataFrame, outputs: DataFrame) -> HopIndex:
-    """Prepare :class:`HopIndex` with one pass over the ledger and write it to the workspace."""
-    entries = spenders(inputs).distinct()
-    exits = receivers(outputs).distinct().withColumnRenamed("address", "next")
-    size = lambda df, name: df.groupBy("txid").agg(F.count(F.lit(1)).alias(name))
-    sizes = size(entries, "n").join(size(exits, "m"), "txid")
-    is_light = F.col("n") * F.col("m") <= PAIRS_PER_LEG * (F.col("n") + F.col("m"))
-    sizes = materialize(sizes.select("txid", is_light.alias("is_light")), "tx-sizes")
-    light, heavy = sizes.where("is_light").select("txid"), sizes.where("NOT is_light").select("txid")
-    pairs = (
-        entries.join(light, "txid").join(exits, "txid").where(F.col("address") != F.col("next"))
-        .select("address", "next").distinct()
-    )
-    return HopIndex(
-        materialize(pairs, "hop-pairs"), materialize(entries.join(heavy, "txid", "left_semi"), "hop-entries"),
-        materialize(exits.join(heavy, "txid", "left_semi"), "hop-exits"))
-
-
-def start(seeds: DataFrame) -> DataFrame:
-    return seeds.select("seed").distinct().select(
-        "seed", F.col("seed").alias("address"), F.lit(0).alias("min_hop"))
-
-
-def next_level(frontier: DataFrame, visited: DataFrame, index: HopIndex, hop: int) -> DataFrame:
-    """Addresses first reached at ``hop``, given those first reached one hop earlier."""
-    along = frontier.join(index.pairs, "address").select("seed", F.col("next").alias("address"))
-    entered = frontier.join(index.entries, "address").select("seed", "txid").distinct()
-    through = entered.join(index.exits, "txid").select("seed", F.col("next").alias("address"))
-    reached = along.unionByName(through).distinct()
-    return reached.join(visited, ["seed", "address"], "left_anti").withColumn("min_hop", F.lit(hop))
-
-
-def reach_levels(
-    seeds: DataFrame, index: HopIndex, max_hops: int, targets: DataFrame | None = None
-) -> list[DataFrame]:
-    """The breadth-first levels, each written to the workspace; the last only towards ``targets`` if given."""
-    levels = [materialize(start(seeds), "reach")]
-    for hop in range(1, max_hops + 1):
-        visited = reduce(DataFrame.unionByName, levels)
-        step = index if targets is None or hop < max_hops else index.towards(targets)
-        level = materialize(next_level(levels[-1], visited, step, hop), "reach")
-        if level.isEmpty():
-            break
-        levels.append(level)
-    return levels
-
-
-def reachable(
-    seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_hops: int = 3, index: HopIndex | None = None
-) -> DataFrame:
+def reachable(seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_hops: int = 3) -> DataFrame:
     """(seed, address, min_hop), breadth first; the seed itself has hop 0."""
-    index = index or unprepared(inputs, outputs)
-    return reduce(DataFrame.unionByName, reach_levels(seeds, index, max_hops))
+    found = sweep(seeds, spenders(inputs), receivers(outputs), max_hops)
+    return reduce(DataFrame.unionByName, [
+        expanded(level, found.seeds, "address").select("seed", "address", F.lit(hop).alias("min_hop"))
+        for hop, level in enumerate(found.levels)])
 
 
 def bounded_walk(seeds: DataFrame, edges: DataFrame, max_hops: int) -> DataFrame:
@@ -143,23 +65,23 @@ def _extend(paths: DataFrame, edges: DataFrame, hop: int) -> DataFrame:
 
 
 def k_hop_exposure(
-    seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_hops: int = 3, limit: int = 100,
-    index: HopIndex | None = None,
+    seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_hops: int = 3, limit: int | None = None,
 ) -> DataFrame:
     """Per seed the nearest addresses with the number of simple paths to them.
 
     Paths are listed only up to ``max_hops - 1``. The last hop is counted: walks that add
     one edge to a path, less those that step back onto the path. A seed with ``limit``
     nearer addresses can keep none that is first reached by the last hop, so for it that hop
-    is counted only towards the nearer ones.
+    is counted only towards the nearer ones. Without a limit all are kept.
     """
-    inner = reachable(seeds, inputs, outputs, max_hops - 1, index)
+    inner = reachable(seeds, inputs, outputs, max_hops - 1)
     sources = inner.select("address").distinct()
     edges = materialize(address_edges(inputs.join(sources, "address", "left_semi"), outputs), "edges")
     walks = bounded_walk(seeds, edges, max_hops - 1)
     counts = materialize(walks.where(F.col("hop") > 0).groupBy("seed", "address").agg(
         F.count(F.lit(1)).alias("paths"), F.min("hop").alias("hop")), "near-counts")
-    full = counts.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit).select("seed")
+    full = counts.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") >= limit if limit else F.lit(False)).select("seed")
     last = walks.where(F.col("hop") == max_hops - 1)
     ends = last.groupBy("seed", "address").agg(F.count(F.lit(1)).alias("paths"))
     step = lambda df: df.join(edges, F.col("address") == F.col("src")).select(
@@ -182,8 +104,11 @@ def k_hop_exposure(
     return top_per(exposure, ["seed"], order, limit)
 
 
-def entity_exposure(reach: DataFrame, links: DataFrame, entities: DataFrame, limit: int = 50) -> DataFrame:
-    """Entities behind reached addresses, weighted by link confidence over distance."""
+def entity_exposure(reach: DataFrame, links: DataFrame, entities: DataFrame, limit: int | None = None) -> DataFrame:
+    """Entities behind reached addresses, weighted by link confidence over distance.
+
+    ``reach`` (seed, address, min_hop) may be complete or hold labelled addresses only, see :func:`labelled_reach`.
+    """
     term = (F.col("confidence").cast("double") / (F.col("min_hop") + 1)).cast("decimal(28,10)")
     per_entity = (
         reach.where(F.col("min_hop") > 0)
@@ -198,6 +123,14 @@ def entity_exposure(reach: DataFrame, links: DataFrame, entities: DataFrame, lim
     return top_per(per_entity, ["seed"], order, limit)
 
 
+def labelled_reach(found: Sweep, links: DataFrame) -> DataFrame:
+    """(seed, address, min_hop) of reached addresses that ``links`` names, the seeds themselves aside."""
+    wanted = links.select("address").distinct()
+    return reduce(DataFrame.unionByName, [
+        expanded(level.join(wanted, "address", "left_semi"), found.seeds, "address").select("seed", "address", F.lit(hop).alias("min_hop"))
+        for hop, level in enumerate(found.levels)])
+
+
 def tx_stats(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """Shape of every transaction; one without inputs or outputs counts zero."""
     spent = inputs.groupBy("txid").agg(

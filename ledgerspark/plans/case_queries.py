@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators import cases, graph, heuristics, quality, risk
 from ledgerspark.plans.catalog import query
-from ledgerspark.plans.graph_queries import hop_index
 from ledgerspark.plans.label_queries import membership, resolved
 from ledgerspark.plans.sqlparts import part
 from ledgerspark.plans.sqlparts import query as sql
@@ -229,7 +228,7 @@ part("candidate_metrics", confusion_sql("50"))
 
 def _scored(spark, sf):
     scores = risk.batch_risk(fx.ledger(spark, sf), fx.seeds(spark, sf), fx.entity_links(spark, sf),
-                             fx.entities(spark, sf), index=hop_index(spark, sf))
+                             fx.entities(spark, sf))
     return fx.gold_labels(spark, sf).join(scores.withColumnRenamed("seed", "address"), "address")
 
 
@@ -436,14 +435,14 @@ JOIN reach b ON b.seed = a.seed AND b.address = e.dst AND b.min_hop = a.min_hop
 WHERE b.min_hop <= 2 GROUP BY 1, 2, 3 HAVING count(*) > 1"""))
 def _(spark, sf):
     led = fx.ledger(spark, sf)
-    return heuristics.reconvergence(graph.reachable(fx.seeds(spark, sf), led.inputs, led.outputs, 2, hop_index(spark, sf)), _edges(spark, sf))
+    return heuristics.reconvergence(graph.reachable(fx.seeds(spark, sf), led.inputs, led.outputs, 2), _edges(spark, sf))
 
 
 @query("h3_dead_ends", sql("""
 SELECT seed, address, min_hop FROM reach WHERE min_hop BETWEEN 1 AND 2 AND address NOT IN (SELECT src FROM edges)"""))
 def _(spark, sf):
     led = fx.ledger(spark, sf)
-    reach = graph.reachable(fx.seeds(spark, sf), led.inputs, led.outputs, 2, hop_index(spark, sf))
+    reach = graph.reachable(fx.seeds(spark, sf), led.inputs, led.outputs, 2)
     return heuristics.dead_ends(reach, led.inputs, led.outputs)
 
 

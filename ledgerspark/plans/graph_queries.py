@@ -2,40 +2,26 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.labels import category_weight, reason_code
 from ledgerspark.operators import graph, patterns, risk
+from ledgerspark.operators.sweep import sweep
 from ledgerspark.plans.catalog import query
 from ledgerspark.plans.sqlparts import CATEGORY_WEIGHT
 from ledgerspark.plans.sqlparts import query as sql
 from ledgerspark.sources import fixture as fx
 
 
-_indexes: dict[tuple[str, str], graph.HopIndex] = {}
-
-
-def hop_index(spark, sf):
-    """Prepared once per session and folder, as all seeds share it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _indexes:
-        led = fx.ledger(spark, sf)
-        _indexes[key] = graph.hop_index(led.inputs, led.outputs)
-    return _indexes[key]
-
-
 def _reach(spark, sf):
     led = fx.ledger(spark, sf)
-    return graph.reachable(fx.seeds(spark, sf), led.inputs, led.outputs, index=hop_index(spark, sf))
+    return graph.reachable(fx.seeds(spark, sf), led.inputs, led.outputs)
 
 
 def _exposures(spark, sf):
-    links = fx.entity_links(spark, sf)
-    levels = graph.reach_levels(fx.seeds(spark, sf), hop_index(spark, sf), 3, targets=links)
-    return graph.entity_exposure(reduce(DataFrame.unionByName, levels), links, fx.entities(spark, sf))
+    led, links = fx.ledger(spark, sf), fx.entity_links(spark, sf)
+    found = sweep(fx.seeds(spark, sf), graph.spenders(led.inputs), graph.receivers(led.outputs), 3)
+    return graph.entity_exposure(graph.labelled_reach(found, links), links, fx.entities(spark, sf))
 
 
 @query("g1_address_edges", sql("SELECT src, dst FROM edges"))
@@ -74,7 +60,7 @@ FROM (
 GROUP BY seed, address QUALIFY rank <= 100"""))
 def _(spark, sf):
     led = fx.ledger(spark, sf)
-    return graph.k_hop_exposure(fx.seeds(spark, sf), led.inputs, led.outputs, index=hop_index(spark, sf))
+    return graph.k_hop_exposure(fx.seeds(spark, sf), led.inputs, led.outputs, limit=100)
 
 
 @query("g5_entity_exposure", sql("SELECT * FROM exposures"))
@@ -97,7 +83,7 @@ def _(spark, sf):
 SELECT seed, txid, min_hop, input_addr_count, output_addr_count, vin_count, vout_count, total_output_sats,
        top_output_ratio FROM features WHERE pos <= 200"""))
 def _(spark, sf):
-    return patterns.pattern_features(fx.ledger(spark, sf), fx.seeds(spark, sf), index=hop_index(spark, sf))
+    return patterns.pattern_features(fx.ledger(spark, sf), fx.seeds(spark, sf), limit=200)
 
 
 @query("p3_rule_predicate", sql("""
@@ -122,9 +108,9 @@ def _(spark, sf):
 SELECT seed, txid, min_hop, rule_id, pattern_name, 'PATTERN_' || pattern_name AS reason_code, confidence,
        severity_weight, input_addr_count, output_addr_count,
        CAST(round(CAST(top_output_ratio AS DECIMAL(28,12)), 4) AS DOUBLE) AS top_output_ratio
-FROM matches WHERE pos <= 200"""))
+FROM matches """))
 def _(spark, sf):
-    found = patterns.evaluate_matches(patterns.pattern_features(fx.ledger(spark, sf), fx.seeds(spark, sf), index=hop_index(spark, sf)))
+    found = patterns.pattern_matches(fx.ledger(spark, sf), fx.seeds(spark, sf))
     return found.select("seed", "txid", "min_hop", "rule_id", "pattern_name", "reason_code", "confidence",
                         "severity_weight", "input_addr_count", "output_addr_count", "top_output_ratio")
 
@@ -133,9 +119,9 @@ def _(spark, sf):
 SELECT seed, txid, min_hop, pattern_name, rule_id, 'PATTERN_' || pattern_name AS reason_code, confidence,
        CAST(row_number() OVER (PARTITION BY seed ORDER BY min_hop, confidence DESC, pattern_name, txid)
             AS INTEGER) AS rank
-FROM matches WHERE pos <= 200 QUALIFY rank <= 100"""))
+FROM matches"""))
 def _(spark, sf):
-    return patterns.pattern_matches(fx.ledger(spark, sf), fx.seeds(spark, sf), index=hop_index(spark, sf)).select(
+    return patterns.pattern_matches(fx.ledger(spark, sf), fx.seeds(spark, sf)).select(
         "seed", "txid", "min_hop", "pattern_name", "rule_id", "reason_code", "confidence", "rank")
 
 
@@ -143,12 +129,12 @@ def _(spark, sf):
 SELECT seed, pattern_name, rule_ids, 'btc_behavioral_patterns' AS ruleset_id, '1.0.0' AS ruleset_version,
        tx_count, closest_hop, avg_confidence, density, severity_weight, rank FROM signals"""))
 def _(spark, sf):
-    return patterns.pattern_signals(fx.ledger(spark, sf), fx.seeds(spark, sf), index=hop_index(spark, sf))
+    return patterns.pattern_signals(fx.ledger(spark, sf), fx.seeds(spark, sf))
 
 
 def _findings(spark, sf):
     return risk.risk_findings(fx.ledger(spark, sf), fx.seeds(spark, sf),
-                              fx.entity_links(spark, sf), fx.entities(spark, sf), index=hop_index(spark, sf))
+                              fx.entity_links(spark, sf), fx.entities(spark, sf))
 
 
 @query("r1_r2_category_weight_reason", sql(f"""
@@ -168,7 +154,7 @@ def _(spark, sf):
 
 @query("r5_pattern_findings", sql("SELECT * EXCLUDE (source_ord) FROM pattern_findings"))
 def _(spark, sf):
-    signals = patterns.pattern_signals(fx.ledger(spark, sf), fx.seeds(spark, sf), index=hop_index(spark, sf))
+    signals = patterns.pattern_signals(fx.ledger(spark, sf), fx.seeds(spark, sf))
     return risk.pattern_findings(signals).drop("source_ord", "metadata")
 
 
@@ -197,11 +183,11 @@ def _(spark, sf):
 @query("r8_batch_risk", sql("SELECT * FROM risk"))
 def _(spark, sf):
     return risk.batch_risk(fx.ledger(spark, sf), fx.seeds(spark, sf),
-                           fx.entity_links(spark, sf), fx.entities(spark, sf), index=hop_index(spark, sf))
+                           fx.entity_links(spark, sf), fx.entities(spark, sf))
 
 
 @query("s10_write_risk_assessments", sql("""
-SELECT r.seed AS address, 3 AS max_hops, 50 AS result_limit, CAST(r.score AS DOUBLE) AS score, r.risk_band,
+SELECT r.seed AS address, 3 AS max_hops, CAST(NULL AS INTEGER) AS result_limit, CAST(r.score AS DOUBLE) AS score, r.risk_band,
        CASE WHEN p.seed IS NOT NULL THEN 'btc_behavioral_patterns' END AS ruleset_id,
        CASE WHEN p.seed IS NOT NULL THEN '1.0.0' END AS ruleset_version,
        coalesce(f.n, 0) AS finding_rows

@@ -130,8 +130,7 @@ FROM (
          CAST(round(sum(CAST(CAST(l.confidence AS DOUBLE) / (r.min_hop + 1) AS DECIMAL(28,10))), 3) AS DOUBLE)
            AS weighted_exposure
   FROM reach r JOIN links l ON l.address = r.address JOIN entities e ON e.entity_id = l.entity_id
-  WHERE r.min_hop > 0 GROUP BY 1, 2, 3, 4)
-QUALIFY rank <= 50""")
+  WHERE r.min_hop > 0 GROUP BY 1, 2, 3, 4)""")
 
 part("stats", """
 SELECT t.txid, coalesce(i.a, 0) AS input_addr_count, coalesce(o.a, 0) AS output_addr_count,
@@ -145,8 +144,7 @@ LEFT JOIN (SELECT txid, count(*) AS n, count(DISTINCT address) AS a, sum(amount_
 part("near_tx", """
 SELECT seed, txid, min_hop, row_number() OVER (PARTITION BY seed ORDER BY min_hop, txid) AS pos FROM (
   SELECT r.seed, i.txid, min(r.min_hop) AS min_hop FROM reach r JOIN tx_inputs i ON i.address = r.address
-  WHERE r.min_hop > 0 GROUP BY 1, 2)
-QUALIFY pos <= 400""")
+  WHERE r.min_hop > 0 GROUP BY 1, 2)""")
 
 part("features", """
 SELECT n.seed, n.txid, n.min_hop, n.pos, s.input_addr_count, s.output_addr_count, s.vin_count, s.vout_count,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions import labels
 from ledgerspark.functions.rank import ranked, top_per
-from ledgerspark.operators import clusters, graph, heuristics, patterns, risk
+from ledgerspark.operators import clusters, graph, heuristics, patterns, risk, sweep
 from ledgerspark.operators.ledger import Ledger
 from tests.walkers import components, simple_paths
 
@@ -55,9 +55,6 @@ def test_walk_reach_and_exposure_agree_with_path_listing(spark, max_hops):
         for name in names:
             want = sorted(simple_paths(edges, name, max_hops).items(), key=lambda kv: (kv[1][0], -kv[1][1], kv[0]))[:limit]
             assert [(r.address, (r.min_hop, r.path_count)) for r in rows if r.seed == name] == want
-    index = graph.hop_index(inputs, outputs)
-    indexed = graph.reachable(seeds_of(spark, names), inputs, outputs, max_hops, index).collect()
-    assert {(r.seed, r.address): r.min_hop for r in indexed} == reach
 
 
 def test_cycle_back_to_the_seed_and_self_change(spark):
@@ -72,10 +69,6 @@ def test_hub_transaction_reaches_without_pairs(spark):
     inputs, outputs = tables(spark, [("hub", many, [f"o{n}" for n in range(300)])])
     reach = graph.reachable(seeds_of(spark, ["i0", "i1"]), inputs, outputs, 2)
     assert reach.where("min_hop = 1").count() == 600
-    small, _ = tables(spark, [("t", ["o0"], ["z"])])
-    index = graph.hop_index(inputs.unionByName(small), outputs)
-    assert index.pairs.count() == 0 and index.entries.count() == 300 and index.exits.count() == 300
-    assert graph.reachable(seeds_of(spark, ["i0", "i1"]), inputs, outputs, 2, index).where("min_hop = 1").count() == 600
 
 
 def plan_of(df):
@@ -86,21 +79,23 @@ def test_plans_trim_groups_and_avoid_cross_joins(spark):
     inputs, outputs = tables(spark, random_txs(3))
     top = plan_of(top_per(inputs, ["address"], [F.col("txid")], 5))
     assert top.count("WindowGroupLimit") == 2  # once before the shuffle and once after
-    index = graph.hop_index(inputs, outputs)
-    level = graph.start(seeds_of(spark, ["a00"]))
-    plan = plan_of(graph.next_level(level, level, index, 1))
+    found = sweep.sweep(seeds_of(spark, ["a00"]), graph.spenders(inputs), graph.receivers(outputs), 2)
+    plan = plan_of(sweep.expanded(found.levels[1], found.seeds, "address"))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_targets_limit_only_the_last_level(spark):
-    inputs, outputs = tables(spark, [("t1", ["s"], ["a", "b"]), ("t2", ["a"], ["c", "d"])])
-    targets = spark.createDataFrame([("d",)], "address string")
-    for index in (graph.hop_index(inputs, outputs), graph.unprepared(inputs, outputs)):
-        levels = graph.reach_levels(seeds_of(spark, ["s"]), index, 2, targets)
-        assert [{r.address for r in level.collect()} for level in levels] == [{"s"}, {"a", "b"}, {"d"}]
+def test_more_seeds_than_a_block_holds(spark):
+    """1,500 seeds in a ring: every one reaches the two that follow it, and its bits are counted apart."""
+    n = 1500
+    inputs, outputs = tables(spark, [(f"t{k}", [f"a{k}"], [f"a{(k + 1) % n}"]) for k in range(n)])
+    seeds = seeds_of(spark, [f"a{k}" for k in range(n)] * 2)
+    got = {(r.seed, r.address): r.min_hop for r in graph.reachable(seeds, inputs, outputs, 2).collect()}
+    assert got == {(f"a{k}", f"a{(k + h) % n}"): h for k in range(n) for h in range(3)}
+    found = sweep.sweep(seeds, graph.spenders(inputs), graph.receivers(outputs), 2, spent_from=True)
+    assert {r.n for r in sweep.bits_per_seed(found.transactions, found.seeds, "n").collect()} == {2}
 
 
-def test_features_stop_early_but_keep_order(spark):
+def test_features_are_the_nearest_transactions(spark):
     txs = random_txs(11, n=80, addresses=12)
     inputs, outputs = tables(spark, txs)
     transactions = spark.createDataFrame([(t, n) for n, (t, _, _) in enumerate(txs)], "txid string, block_height bigint")
@@ -108,19 +103,16 @@ def test_features_stop_early_but_keep_order(spark):
     seeds = seeds_of(spark, ["a00", "a05", "nowhere"])
     reach = graph.reachable(seeds, inputs, outputs, 3)
     hops = {(r.seed, r.address): r.min_hop for r in reach.collect() if r.min_hop > 0}
-    for limit in (3, 20, 500):
+    for limit in (3, 20, None):
         want = {}
         for seed in ("a00", "a05"):
             near = sorted((min(hops[seed, a] for a in i if (seed, a) in hops), t)
                           for t, i, _ in txs if any((seed, a) in hops for a in i))
             want[seed] = near[:limit]
-        levels = graph.reach_levels(seeds, graph.unprepared(inputs, outputs), 2)
-        for index, known in ((None, None), (graph.hop_index(inputs, outputs), None), (None, levels)):
-            rows = patterns.pattern_features(led, seeds, 3, limit, index, known).collect()
-            got = {}
-            for r in rows:
-                got.setdefault(r.seed, []).append((r.min_hop, r.txid))
-            assert {s: sorted(v) for s, v in got.items()} == want, limit
+        got = {}
+        for r in patterns.pattern_features(led, seeds, 3, limit).collect():
+            got.setdefault(r.seed, []).append((r.min_hop, r.txid))
+        assert {s: sorted(v) for s, v in got.items()} == want, limit
 
 
 @pytest.mark.parametrize("seed,addresses", [(1, 200), (2, 90), (3, 12)])
