@@ -31,7 +31,7 @@ def attribution_sources(spark: SparkSession) -> DataFrame:
 
 def _with_sources(attributions: DataFrame, sources: DataFrame) -> DataFrame:
     registry = sources.select("source_key", "priority", "is_authoritative")
-    return attributions.join(F.broadcast(registry), "source_key")  # a registry of eight constant rows
+    return attributions.join(registry, "source_key")
 
 
 def best_attribution(attributions: DataFrame, sources: DataFrame) -> DataFrame:

@@ -23,7 +23,6 @@ MAX_HOPS = 8
 DUST_SATS = 546
 MAX_BRANCHES = 5
 POOLING_FACTOR = 3
-SCAN_BLOCKS = 4000
 LEDGER_MAX_HOPS, LEDGER_BRANCHES = 10, 5
 
 CONFIDENCE_LABELS = {"L1": "Mathematically proven", "L2": "Forensically corroborated"}
@@ -121,11 +120,15 @@ def spend_state(
 
 
 def forward_spend_scan(
-    outpoints: DataFrame, inputs: DataFrame, transactions: DataFrame, max_blocks: int = SCAN_BLOCKS
+    outpoints: DataFrame, inputs: DataFrame, transactions: DataFrame, max_blocks: int | None = None
 ) -> DataFrame:
-    """T4: the spender of each outpoint (txid, vout_index, hint) in the blocks after its ``hint`` height."""
-    near = spenders_of(outpoints.where(F.col("hint") > 0), inputs, transactions).where(
-        (F.col("spend_height") > F.col("hint")) & (F.col("spend_height") <= F.col("hint") + max_blocks))
+    """T4: the spender of each outpoint (txid, vout_index, hint) in the blocks after its ``hint`` height.
+
+    The join is on the outpoint and needs no bound; ``max_blocks`` limits the search to so many blocks where a caller wants that.
+    """
+    near = spenders_of(outpoints.where(F.col("hint") > 0), inputs, transactions).where(F.col("spend_height") > F.col("hint"))
+    if max_blocks is not None:
+        near = near.where(F.col("spend_height") <= F.col("hint") + max_blocks)
     return near.groupBy("txid", "vout_index").agg(
         F.min(F.struct("spend_height", "spender"))["spender"].alias("spender"))
 

@@ -58,8 +58,7 @@ def _(spark, sf):
 
 @query("s2_n8_read_transactions", sql("""
 SELECT txid, vout_index, address, CAST(amount_sats / 100000000.0 AS DOUBLE) AS btc
-FROM tx_outputs JOIN script_types USING (address) JOIN transactions USING (txid)
-WHERE fee_sats IS NULL OR script_type <> 'LARGE'"""))
+FROM tx_outputs"""))
 def _(spark, sf):
     return normalize.lookup_outputs(_txs(spark, sf)).withColumn("btc", F.col("btc").cast("double"))
 

@@ -187,11 +187,11 @@ def _(spark, sf):
 SELECT o.txid, o.vout_index, i.txid AS spender FROM tx_outputs o
 JOIN transactions t ON t.txid = o.txid JOIN tx_inputs i ON i.prev_txid = o.txid AND i.prev_vout = o.vout_index
 JOIN transactions s ON s.txid = i.txid
-WHERE t.block_height > 0 AND s.block_height > t.block_height AND s.block_height <= t.block_height + 400"""))
+WHERE t.block_height > 0 AND s.block_height > t.block_height"""))
 def _(spark, sf):
     led = fx.ledger(spark, sf)
     points = led.outputs.join(led.transactions, "txid").select("txid", "vout_index", F.col("block_height").alias("hint"))
-    return trace.forward_spend_scan(points, led.inputs, led.transactions, max_blocks=400)
+    return trace.forward_spend_scan(points, led.inputs, led.transactions)
 
 
 @query("t5_trace_cases")

@@ -1,4 +1,4 @@
-"""Traces, flow graphs and paths against a sequential walk."""
+"""Traces, flow graphs and paths on ledgers small enough to follow by hand."""
 
 from collections import defaultdict
 
@@ -7,202 +7,98 @@ from pyspark.sql import functions as F
 
 from ledgerspark.operators import flow, trace
 from ledgerspark.operators.ledger import Ledger
-from tests.walkers import columns_of, random_ledger, stored_hops, trace_one, way_back
 
-KNOWN = {
-    "a05": dict(exchange="Kraken", label="Kraken (seed)", source="exchange-intel/seed", is_evidential=True, is_sanctioned=False),
-    "a06": dict(exchange="Binance", label="Binance (seed)", source="exchange-intel/seed", is_evidential=True, is_sanctioned=True),
-    "a07": dict(exchange=None, label=None, source=None, is_evidential=False, is_sanctioned=True),
-}
-TX = "txid string, block_height bigint"
-IN = "txid string, vin_index int, prev_txid string, prev_vout int, address string, amount_sats bigint"
-OUT = "txid string, vout_index int, address string, amount_sats bigint, spent_by_txid string"
+KNOWN = [
+    ("kraken", "Kraken", "Kraken (seed)", "exchange-intel/seed", True, False),
+    ("binance", "Binance", "Binance (seed)", "exchange-intel/seed", True, True),
+    ("listed", None, None, None, False, True),
+]
+CASE = "case_id string, fraud_txid string, recipient string"
+
+
+def ledger(spark, txs, lost=()):
+    """``txs``: (txid, [outpoints spent], [(receiver, sats)]) in order of height; an outpoint is "txid:n".
+
+    Of transactions in ``lost`` only the flag on the output they spend is known.
+    """
+    paid = {f"{t}:{n}": (a, s) for t, _, outs in txs for n, (a, s) in enumerate(outs)}
+    spent = {o: t for t, ins, _ in txs for o in ins}
+    transactions = [(t, h) for h, (t, _, _) in enumerate(txs, 1) if t not in lost]
+    inputs = [(t, n, *_point(o), *paid[o]) if o in paid else (t, n, None, None, o, 9000)
+              for t, ins, _ in txs if t not in lost for n, o in enumerate(ins)]
+    outputs = [(t, n, a, s, spent.get(f"{t}:{n}")) for t, _, outs in txs if t not in lost for n, (a, s) in enumerate(outs)]
+    tx = spark.createDataFrame(transactions, "txid string, block_height bigint").withColumn(
+        "first_seen", F.timestamp_seconds(F.col("block_height") * 600))
+    return Ledger(
+        blocks=None, transactions=tx,
+        inputs=spark.createDataFrame(inputs, "txid string, vin_index int, prev_txid string, prev_vout int, address string, amount_sats bigint"),
+        outputs=spark.createDataFrame(outputs, "txid string, vout_index int, address string, amount_sats bigint, spent_by_txid string"))
 
 
-def frame(spark, rows, schema):
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], schema)
+def _point(outpoint):
+    txid, n = outpoint.split(":")
+    return txid, int(n)
 
 
-def to_spark(spark, led) -> Ledger:
-    txs = frame(spark, led.transactions, TX).withColumn(
-        "first_seen", F.timestamp_seconds(F.col("block_height") * 600))
-    return Ledger(blocks=None, transactions=txs, inputs=frame(spark, led.inputs, IN), outputs=frame(spark, led.outputs, OUT))
-
-
-def attribution(spark):
-    rows = [dict(address=a, **k) for a, k in KNOWN.items()]
-    return frame(spark, rows, "address string, exchange string, label string, source string, is_evidential boolean, "
-                              "is_sanctioned boolean")
-
-
-def cases_of(led, n=None):
-    """Every transaction and each distinct receiver is a case."""
-    found = [(f"{tx}-{a}", tx, a) for tx, outs in sorted(led.outs.items()) for a in sorted({o["address"] for o in outs})]
-    return found[:n] if n else found
-
-
-def collect_trace(result):
-    legs = defaultdict(list)
-    for leg in result.legs.orderBy("case_id", "hop", "side", "ord").collect():
-        legs[leg.case_id, leg.hop, leg.side].append((leg.address, leg.sats))
-    rows = defaultdict(list)
-    for h in result.hops.orderBy("case_id", "hop").collect():
-        rows[h.case_id].append({
-            "hop": h.hop, "depth": h.depth, "txid": h.txid, "from": [a for a, _ in legs[h.case_id, h.hop, "from"]],
-            "to": legs[h.case_id, h.hop, "to"], "reason": h.chain_end_reason, "confidence": h.confidence,
-            "exchange": h.exchange, "bad": h.is_sanctioned})
-    return rows
-
-
-@pytest.mark.parametrize("seed,max_hops", [(1, 8), (2, 8), (3, 3)])
-def test_trace_equals_sequential_walk(spark, seed, max_hops):
-    led = random_ledger(seed)
-    cases = cases_of(led)
-    got = collect_trace(trace.trace_cases(
-        to_spark(spark, led), spark.createDataFrame(cases, "case_id string, fraud_txid string, recipient string"),
-        attribution(spark), max_hops))
-    for case_id, txid, recipient in cases:
-        want = trace_one(led, txid, recipient, KNOWN, max_hops)
-        seen = [{k: v for k, v in h.items() if k != "hop"} for h in got[case_id]]
-        assert seen == [{**h, "from": [h["from"]]} for h in want], case_id
-    reasons = {h["reason"] for rows in got.values() for h in rows}
-    assert {"exchange", "pooling", "unspent", "lookup_incomplete"} <= reasons
-
-
-def test_ledger_hops_equal_sequential_walk(spark):
-    led = random_ledger(5, n_tx=60)
-    cases = [(tx, tx, "") for tx in sorted(led.outs)]
-    result = trace.ledger_hops(
-        to_spark(spark, led), spark.createDataFrame(cases, "case_id string, fraud_txid string, recipient string"), 4)
-    sender = {(r.case_id, r.hop): r.address for r in result.legs.where("side = 'from'").collect()}
-    got = defaultdict(list)
-    for r in result.hops.orderBy("case_id", "hop").collect():
-        got[r.case_id].append((r.hop, r.txid, sender[r.case_id, r.hop]))
-    for case_id, txid, _ in cases:
-        assert got[case_id] == stored_hops(led, txid, 4), case_id
-
-
-def test_flow_columns_and_paths_equal_sequential_walk(spark):
-    led = random_ledger(7)
-    cases = cases_of(led)
-    owners = defaultdict(set)
-    for i in led.inputs:
-        if i["address"]:
-            owners[i["txid"]].add(i["address"])
-    victims = [(c, a) for c, tx, _ in cases for a in owners[tx]]
-    case_df = spark.createDataFrame(cases, "case_id string, fraud_txid string, recipient string")
-    victim_df = spark.createDataFrame(victims, "case_id string, address string")
-    tr = trace.full_trace(to_spark(spark, led), case_df, victim_df, attribution(spark))
-    hops = {c: [{**h, "to": [a for a, _ in h["to"]]} for h in rows] for c, rows in collect_trace(tr).items()}
-    victims_of = {c: owners[tx] for c, tx, _ in cases}
-    recipient_of = {c: r for c, _, r in cases}
-
-    columns = defaultdict(dict)
-    for r in flow.hop_columns(tr, victim_df).collect():
-        columns[r.case_id][r.hop] = r.from_column
-    for case_id, rows in hops.items():
-        want = columns_of(rows, victims_of[case_id], recipient_of[case_id])
-        assert [columns[case_id][h["hop"]] for h in rows] == want, case_id
-
-    endpoints = flow.exchange_endpoints(tr)
-    paths = defaultdict(list)
-    nodes = flow.freeze_paths(endpoints, tr, case_df, victim_df).orderBy("case_id", "endpoint", "position").collect()
-    for r in nodes:
-        paths[r.case_id, r.endpoint].append(r.subtitle)
-    checked = 0
-    for e in endpoints.collect():
-        want = way_back(hops[e.case_id], e.address, victims_of[e.case_id])
-        got = paths.get((e.case_id, e.address), [])
-        if got:
-            assert got == [f"{n} addresses" if isinstance(n, int) else n for n in want], (e.case_id, e.address)
-            checked += 1
-    assert checked > 20
-    steps = flow.branch_traces(endpoints, tr, victim_df).groupBy("case_id", "endpoint").count().count()
-    assert steps == len(paths)
-
-
-def literal(spark, outputs, inputs, heights):
-    txs = [dict(txid=t, block_height=h) for t, h in heights.items()]
-    outs = [dict(zip(("txid", "vout_index", "address", "amount_sats", "spent_by_txid"), o)) for o in outputs]
-    ins = [dict(zip(("txid", "vin_index", "prev_txid", "prev_vout", "address", "amount_sats"), i)) for i in inputs]
-    return Ledger(None, frame(spark, txs, TX).withColumn("first_seen", F.timestamp_seconds("block_height")),
-                  frame(spark, ins, IN), frame(spark, outs, OUT))
-
-
-def one_case(spark, fraud_txid="f", recipient="r"):
-    return spark.createDataFrame([("c", fraud_txid, recipient)], "case_id string, fraud_txid string, recipient string")
-
-
-def test_limits_of_a_hop(spark):
-    """Dust of 546 is hidden, six others give five, three times the amount is no pooling."""
-    led = literal(
-        spark,
-        [("f", 0, "r", 1000, "s")] + [("s", n, f"o{n}", 2995 + n, None) for n in range(6)] + [("s", 6, "d", 546, None)],
-        [("s", 0, "f", 0, "r", 1000)], {"f": 1, "s": 2})
-    shown = trace.trace_cases(led, one_case(spark), attribution(spark)).legs.where("side = 'to'").orderBy("ord").collect()
-    assert [r.address for r in shown] == ["o5", "o4", "o3", "o2", "o1"]
-    assert trace.trace_cases(led, one_case(spark), attribution(spark)).hops.first().chain_end_reason == "unspent"
-
-
-def test_two_outputs_to_one_address_use_the_first(spark):
-    led = literal(spark, [("f", 0, "r", 700, "s"), ("f", 1, "r", 900, None), ("s", 0, "x", 600, None)],
-                  [("s", 0, "f", 0, "r", 700)], {"f": 1, "s": 2})
-    amounts = trace.recipient_amount(one_case(spark), led.outputs).first()
-    assert amounts.recipient_sats == 700
-    assert trace.trace_cases(led, one_case(spark), attribution(spark)).hops.count() == 1
-
-
-def test_spend_scan_is_bounded_and_takes_the_lowest_block(spark):
-    led = literal(spark, [("f", 0, "r", 5, None)],
-                  [("late", 0, "f", 0, "r", 5), ("soon", 0, "f", 0, "r", 5)], {"f": 100, "soon": 105, "late": 300})
-    points = spark.createDataFrame([("f", 0, 100)], "txid string, vout_index int, hint bigint")
-    scan = lambda n: trace.forward_spend_scan(points, led.inputs, led.transactions, n).collect()
-    assert [r.spender for r in scan(4000)] == ["soon"]
-    assert scan(4) == []
-
-
-def test_direct_exchange_recipient_ends_the_chain(spark):
-    led = literal(spark, [("f", 0, "a05", 1000, None)], [("f", 0, "p", 0, "v", 1000)], {"f": 1})
-    victims = spark.createDataFrame([("c", "v")], "case_id string, address string")
-    tr = trace.full_trace(led, one_case(spark, recipient="a05"), victims, attribution(spark))
-    hop = tr.hops.first()
-    assert (hop.label, hop.chain_end_reason, hop.confidence) == ("Theft → Kraken", "exchange", "L2")
-    end = flow.exchange_endpoints(tr).first()
-    assert (end.name, end.address, end.sats, end.confidence) == ("Kraken", "a05", 1000, "L2")
-
-
-def test_edge_amounts(spark):
-    """One sender gives output amounts; two senders and one receiver give input contributions."""
-    columns = "case_id string, hop int, side string, ord bigint, address string, sats bigint, is_exchange boolean, exchange string"
-    legs = spark.createDataFrame([
-        ("c", 0, "from", 0, "v1", 30, False, None), ("c", 0, "from", 1, "v2", 70, False, None),
-        ("c", 0, "to", 0, "r", 90, False, None),
-        ("c", 1, "from", 0, "r", 90, False, None), ("c", 1, "to", 0, "x", 50, False, None),
-        ("c", 1, "to", 1, "r", 40, False, None),
-        ("d", 0, "from", 0, "v1", 30, False, None), ("d", 0, "from", 1, "v2", 70, False, None),
-        ("d", 0, "to", 0, "r", 60, False, None), ("d", 0, "to", 1, "e", 35, True, "Kraken")], columns)
-    hops = spark.createDataFrame(
-        [("c", 0, "t0"), ("c", 1, "t1"), ("d", 0, "t2")], "case_id string, hop int, txid string").select(
-        "*", *[F.lit(None).cast(t).alias(n) for n, t in [("confidence", "string"), ("label", "string"),
-                                                         ("chain_end_reason", "string"), ("is_sanctioned", "boolean")]])
-    edges = {(e.case_id, e.from_address, e.to_address): (e.sats, e.amount_context)
-             for e in flow.flow_edges(trace.Trace(hops, legs)).collect()}
-    assert edges[("c", "v1", "r")] == (30, "input_contribution")
-    assert edges[("c", "r", "x")] == (50, "output_amount")
-    assert ("c", "r", "r") not in edges  # change is no edge
-    assert edges[("d", "v1", None)] == (None, "aggregate_transaction")
-    assert edges[("d", None, "e")] == (None, "aggregate_transaction")
-
-
-def test_digest_depends_on_content_only(spark):
-    led = random_ledger(9)
-    cases = cases_of(led, 10)
-    df = spark.createDataFrame(cases, "case_id string, fraud_txid string, recipient string")
-    tr = trace.trace_cases(to_spark(spark, led), df, attribution(spark))
-    digest = lambda t: {r.case_id: r.report_hash for r in flow.report_digest(t, df).collect()}
-    first = digest(tr)
-    assert first == digest(trace.Trace(tr.hops.repartition(7), tr.legs.repartition(5)))
-    changed = digest(trace.Trace(tr.hops, tr.legs.withColumn("sats", F.col("sats") + 1)))
-    traced = {r.case_id for r in tr.hops.select("case_id").distinct().collect()}
-    assert traced and all(first[c] != changed[c] for c in traced)
+def traced(spark, led, max_hops=8):
+    known = spark.createDataFrame(KNOWN, "address string, exchange string, label string, source string, is_evidential boolean, is_sanctioned boolean")
+    cases = spark.createDataFrame([("c", "t0", "thief")], CASE)
+    result = trace.trace_cases(led, cases, known, max_hops)
+    to = defaultdict(list)
+    for leg in result.legs.where("side = 'to'").orderBy("hop", "ord").collect():
+        to[leg.hop].append((leg.address, leg.sats))
+    return [(h.hop, h.txid, to[h.hop], h.chain_end_reason, h.confidence, h.exchange) for h in result.hops.orderBy("hop").collect()]
+
+
+START = ("t0", ["victim"], [("thief", 5000)])
+
+
+def test_money_split_to_an_exchange_and_an_unspent_rest(spark):
+    led = ledger(spark, [START, ("t1", ["t0:0"], [("middle", 3000), ("thief", 2000)]), ("t2", ["t1:0"], [("kraken", 2900)]),
+                         ("t3", ["t1:1"], [("rest", 1900), ("dust", 100)])])
+    rows = traced(spark, led)
+    assert [(txid, to, end, exchange) for _, txid, to, end, _, exchange in rows] == [
+        ("t1", [("middle", 3000), ("thief", 2000)], None, None),
+        ("t2", [("kraken", 2900)], "exchange", "Kraken"),
+        ("t3", [("rest", 1900)], "unspent", None),
+    ]
+
+
+def test_money_pooled_with_much_more_ends_there(spark):
+    led = ledger(spark, [START, ("f", ["other"], [("pool", 90_000)]), ("t1", ["t0:0", "f:0"], [("big", 80_000), ("small", 1000)]),
+                         ("t2", ["t1:0"], [("kraken", 79_000)])])
+    rows = traced(spark, led)
+    assert [(txid, end) for _, txid, _, end, _, _ in rows] == [("t1", "pooling")]
+
+
+def test_a_spender_nobody_recorded_is_told(spark):
+    led = ledger(spark, [START, ("t1", ["t0:0"], [("middle", 4900)]), ("t2", ["t1:0"], [("far", 4800)])], lost={"t2"})
+    rows = traced(spark, led)
+    assert [(txid, end) for _, txid, _, end, _, _ in rows] == [("t1", "lookup_incomplete")]
+    assert [end for _, _, _, end, _, _ in traced(spark, ledger(spark, [START, ("t1", ["t0:0"], [("x", 1)])], lost={"t1"}))] == ["lookup_incomplete"]
+
+
+def test_money_that_meets_again_is_followed_once(spark):
+    led = ledger(spark, [START, ("t1", ["t0:0"], [("left", 2500), ("right", 2500)]), ("t2", ["t1:0", "t1:1"], [("binance", 4900)])])
+    assert [(txid, exchange) for _, txid, _, _, _, exchange in traced(spark, led)] == [("t1", None), ("t2", "Binance")]
+
+
+@pytest.mark.parametrize("length", [1, 5])
+def test_stored_links_are_followed_level_by_level(spark, length):
+    txs = [START] + [(f"t{n}", [f"t{n - 1}:0"], [("thief" if n % 2 else "other", 5000 - n)]) for n in range(1, length + 1)]
+    result = trace.ledger_hops(ledger(spark, txs), spark.createDataFrame([("c", "t0", "")], CASE), 10)
+    assert [(h.hop, h.txid) for h in result.hops.orderBy("hop").collect()] == [(n, f"t{n}") for n in range(1, length + 1)]
+
+
+def test_columns_and_way_back_of_a_chain(spark):
+    led = ledger(spark, [START, ("t1", ["t0:0"], [("middle", 4900)]), ("t2", ["t1:0"], [("kraken", 4800)])])
+    known = spark.createDataFrame(KNOWN, "address string, exchange string, label string, source string, is_evidential boolean, is_sanctioned boolean")
+    cases = spark.createDataFrame([("c", "t0", "thief")], CASE)
+    victims = spark.createDataFrame([("c", "victim")], "case_id string, address string")
+    result = trace.full_trace(led, cases, victims, known)
+    columns = {r.hop: r.from_column for r in flow.hop_columns(result, victims).collect()}
+    assert columns == {0: 0, 1: 1, 2: 2}
+    endpoints = flow.exchange_endpoints(result)
+    assert [(e.address, e.name) for e in endpoints.collect()] == [("kraken", "Kraken")]
+    path = flow.freeze_paths(endpoints, result, cases, victims).orderBy("position").collect()
+    assert [n.subtitle for n in path] == ["victim", "thief", "middle", "kraken"]

@@ -1,134 +1,8 @@
-"""Plain sequential versions of the iterative operators, for comparison on small ledgers."""
+"""Plain versions of graph operators, for comparison on small graphs."""
 
 from __future__ import annotations
 
-import random
-from collections import defaultdict, deque
-
-
-class SmallLedger:
-    """Rows of a ledger in dictionaries."""
-
-    def __init__(self, transactions, inputs, outputs):
-        self.transactions, self.inputs, self.outputs = transactions, inputs, outputs
-        self.height = {t["txid"]: t["block_height"] for t in transactions}
-        self.outs = defaultdict(list)
-        for o in sorted(outputs, key=lambda o: o["vout_index"]):
-            self.outs[o["txid"]].append(o)
-        self.spender = {}
-        for i in sorted(inputs, key=lambda i: (self.height.get(i["txid"], 2**62), i["txid"]), reverse=True):
-            if i["prev_txid"] is not None:
-                self.spender[i["prev_txid"], i["prev_vout"]] = i["txid"]
-
-
-def random_ledger(seed: int, n_tx: int = 40, n_addr: int = 8) -> SmallLedger:
-    """A ledger with reuse, dust, hubs, lost spenders and spends nobody recorded."""
-    rng = random.Random(seed)
-    addr = [f"a{k:02d}" for k in range(n_addr)]
-    transactions, inputs, outputs = [], [], []
-    open_outputs = []
-    for n in range(n_tx):
-        txid = f"t{n:03d}"
-        spends = [open_outputs.pop(rng.randrange(len(open_outputs))) for _ in range(rng.randint(0, 2)) if open_outputs]
-        if rng.random() > 0.05 or not spends:
-            transactions.append({"txid": txid, "block_height": n + 1})
-        for v, o in enumerate(spends):
-            o["spent_by_txid"] = txid
-            if rng.random() > 0.07:  # otherwise the spend is known only from the output's flag
-                inputs.append({"txid": txid, "vin_index": v, "prev_txid": o["txid"], "prev_vout": o["vout_index"],
-                               "address": o["address"], "amount_sats": o["amount_sats"]})
-        if not spends:
-            inputs.append({"txid": txid, "vin_index": 0, "prev_txid": None, "prev_vout": None, "address": None,
-                           "amount_sats": None})
-        for v in range(rng.choice([0, 1, 1, 2, 2, 3, 8])):
-            row = {"txid": txid, "vout_index": v, "address": rng.choice(addr),
-                   "amount_sats": rng.choice([100, 546, 547, 1000, 2000, 3000, 3001, 9000]), "spent_by_txid": None}
-            outputs.append(row)
-            open_outputs.append(row)
-    return SmallLedger(transactions, inputs, outputs)
-
-
-def trace_one(led: SmallLedger, fraud_txid: str, recipient: str, known: dict, max_hops: int = 8) -> list[dict]:
-    """The trace of one case as a list of hop records."""
-    exchange = {a: k["exchange"] for a, k in known.items() if k["is_evidential"]}
-    bad = {a for a, k in known.items() if k["is_sanctioned"]}
-    hops, done = [], set()
-    todo = deque([(fraud_txid, recipient, 1)])
-
-    def latest_paying(address):
-        return next((h for h in reversed(hops) if any(a == address for a, _ in h["to"])), None)
-
-    while todo and len(hops) < max_hops:
-        txid, address, depth = todo.popleft()
-        point = next((o for o in led.outs[txid] if o["address"] == address), None)
-        if point is None:
-            continue
-        sats = point["amount_sats"]
-        spender = led.spender.get((txid, point["vout_index"]))
-        if spender is None:
-            unresolved = point["spent_by_txid"] is not None
-            if unresolved and not hops:
-                hops.append({"depth": depth, "txid": txid, "from": address, "to": [(address, sats)],
-                             "reason": "lookup_incomplete", "confidence": "L1", "exchange": None, "bad": False})
-                continue
-            hop = latest_paying(address)
-            if hop is None:
-                continue
-            if unresolved:
-                hop["reason"] = "lookup_incomplete"
-            elif address in exchange:
-                hop.update(reason="exchange", confidence="L2", exchange=exchange[address])
-            else:
-                hop["reason"] = "unspent"
-            continue
-        if spender in done:
-            continue
-        done.add(spender)
-        if spender not in led.height:
-            continue
-        outs = led.outs[spender]
-        hits = [o for o in outs if o["address"] in exchange and o["address"] != address]
-        others = [o for o in outs if o not in hits and (o["address"] == address or o["amount_sats"] > 546)]
-        others.sort(key=lambda o: -o["amount_sats"])
-        shown = [(o["address"], o["amount_sats"], True) for o in hits]
-        shown += [(o["address"], o["amount_sats"], False) for o in others[:5]]
-        if not shown and outs:
-            top = max(outs, key=lambda o: o["amount_sats"])
-            shown = [(top["address"], top["amount_sats"], False)]
-        biggest = max((o["amount_sats"] for o in outs), default=0)
-        pooled = sats > 0 and biggest > 3 * sats and not hits
-        hops.append({
-            "depth": depth, "txid": spender, "from": address, "to": [(a, s) for a, s, _ in shown],
-            "reason": "exchange" if hits else "pooling" if pooled else None, "confidence": "L2" if hits or pooled else "L1",
-            "exchange": exchange[hits[0]["address"]] if hits else None,
-            "bad": any(o["address"] in bad and o["address"] != address for o in outs)})
-        if not pooled:
-            todo.extend((spender, a, depth + 1) for a, _, is_exchange in shown if not is_exchange)
-    hops.sort(key=lambda h: (h["depth"], h["txid"]))
-    unique, seen = [], set()
-    for hop in hops:
-        if (hop["txid"], hop["from"]) not in seen:
-            seen.add((hop["txid"], hop["from"]))
-            unique.append(hop)
-    return unique
-
-
-def stored_hops(led: SmallLedger, txid: str, max_hops: int = 10) -> list[tuple]:
-    """Records (number, spending tx, sender) of the walk over stored links."""
-    records, expanded, level, number = [], set(), [txid], 1
-    while level and number <= max_hops:
-        following = []
-        for tx in level:
-            if tx in expanded:
-                continue
-            expanded.add(tx)
-            for o in [o for o in led.outs[tx] if o["spent_by_txid"]][:5]:
-                if o["spent_by_txid"] not in expanded:
-                    records.append((number, o["spent_by_txid"], o["address"]))
-                    following.append(o["spent_by_txid"])
-                    number += 1
-        level = following
-    return records
+from collections import defaultdict
 
 
 def simple_paths(edges: set, seed: str, max_hops: int) -> dict:
@@ -165,44 +39,3 @@ def components(pairs: list) -> dict:
         low, high = sorted((root(a), root(b)))
         parent[high] = low
     return {a: root(a) for a in parent}
-
-
-def columns_of(hops: list[dict], victims: set, recipient: str) -> list[int]:
-    """Column of each hop's senders; hops carry ``hop``, ``from`` and ``to`` address lists."""
-    place = {v: 0 for v in victims}
-    place[recipient] = min(place.get(recipient, 1), 1)
-    columns = []
-    for h in hops:
-        known = [place[a] for a in h["from"] if a in place]
-        column = min(known) if known else (0 if h["hop"] == 0 else h["hop"])
-        columns.append(column)
-        for addresses, at in ((h["from"], column), (h["to"], column + 1)):
-            for a in addresses:
-                place[a] = min(place.get(a, at), at)
-    return columns
-
-
-def way_back(hops: list[dict], target: str, victims: set) -> list:
-    """Nodes from the origin to ``target``: addresses, or the number of victim inputs."""
-
-    def producer(address):
-        found = None
-        for h in hops:
-            if address in h["to"] and address not in h["from"]:
-                found = h
-        return found
-
-    nodes, seen, current = [], set(), target
-    while current not in seen:
-        seen.add(current)
-        nodes.append(current)
-        hop = producer(current)
-        if hop is None or not hop["from"]:
-            break
-        if len(hop["from"]) > 1:
-            own = [a for a in hop["from"] if a in victims]
-            if own:
-                nodes.append(len(own))
-            break
-        current = hop["from"][0]
-    return nodes[::-1]
