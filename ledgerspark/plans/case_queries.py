@@ -259,6 +259,24 @@ def _(spark, sf):
     return quality.regression_gate(quality.confusion_metrics(scored, 100.0), quality.confusion_metrics(scored, 50.0))
 
 
+@query("s5_read_policy_gate", sql("""
+SELECT metric, CASE WHEN metric IN ('fpr', 'fnr') THEN candidate - base ELSE base - candidate END AS worsening,
+       CASE WHEN metric = 'recall' THEN 0.02::DOUBLE WHEN metric = 'fpr' THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END AS allowed
+FROM (UNPIVOT (SELECT precision, recall, f1, fpr, fnr FROM base_metrics) ON COLUMNS(*) INTO NAME metric VALUE base)
+JOIN (UNPIVOT (SELECT precision, recall, f1, fpr, fnr FROM candidate_metrics) ON COLUMNS(*) INTO NAME metric VALUE candidate)
+USING (metric)"""))
+def _(spark, sf):
+    """A policy document, one threshold overridden, decides over the scored labels."""
+    from ledgerspark.session import materialize
+
+    path = fresh_path(spark, "policy")
+    spark.createDataFrame([(0.02, 0.5)], "max_recall_drop double, max_fpr_increase double").write.json(path)
+    policy = readers.read_policy(spark, path, max_fpr_increase=0.01)
+    scored = materialize(_scored(spark, sf), "scored")
+    return quality.regression_gate(quality.confusion_metrics(scored, 100.0), quality.confusion_metrics(scored, 50.0), policy).select(
+        "metric", "worsening", "allowed")
+
+
 part("dq", """
 SELECT (SELECT count(*) FROM blocks) AS blocks, (SELECT count(*) FROM transactions) AS transactions,
        (SELECT count(*) FROM tx_outputs) AS tx_outputs, (SELECT count(*) FROM tx_inputs) AS tx_inputs,

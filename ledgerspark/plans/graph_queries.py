@@ -104,6 +104,24 @@ def _(spark, sf):
     return shapes.select("txid", rule.alias("rule_id"))
 
 
+@query("p2_pattern_rules", sql("""
+SELECT r.rule_id, r.pattern_name, r.severity_weight, count(s.txid) AS transactions FROM rules r LEFT JOIN stats s
+  ON (r.min_input_addr_count IS NULL OR s.input_addr_count >= r.min_input_addr_count)
+ AND (r.max_input_addr_count IS NULL OR s.input_addr_count <= r.max_input_addr_count)
+ AND (r.min_output_addr_count IS NULL OR s.output_addr_count >= r.min_output_addr_count)
+ AND (r.max_output_addr_count IS NULL OR s.output_addr_count <= r.max_output_addr_count)
+ AND (r.min_output_ratio IS NULL OR CASE WHEN s.total_output_sats = 0 THEN 0.0::DOUBLE
+      ELSE CAST(s.max_output_sats AS DOUBLE) / CAST(s.total_output_sats AS DOUBLE) END >= r.min_output_ratio)
+GROUP BY ALL"""))
+def _(spark, sf):
+    """The rule table beside the number of transactions on which each rule holds."""
+    led = fx.ledger(spark, sf)
+    hits = patterns.evaluate_matches(patterns.rule_hits(led).withColumn("min_hop", F.lit(1))).groupBy("rule_id").agg(
+        F.count(F.lit(1)).alias("transactions"))
+    return patterns.pattern_rules(spark).join(hits, "rule_id", "left").select(
+        "rule_id", "pattern_name", "severity_weight", F.coalesce("transactions", F.lit(0)).alias("transactions"))
+
+
 @query("p5_evaluate_matches", sql(f"""
 SELECT seed, txid, min_hop, rule_id, pattern_name, 'PATTERN_' || pattern_name AS reason_code, confidence,
        severity_weight, input_addr_count, output_addr_count,

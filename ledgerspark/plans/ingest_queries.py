@@ -273,14 +273,15 @@ def _(spark, sf):
 SELECT b.height, b.hash FROM blocks b,
   (SELECT max(block_height) AS cursor FROM transactions WHERE first_seen < TIMESTAMP '2000-01-01') c,
   (SELECT max(height) AS tip FROM blocks) t
-WHERE b.height BETWEEN c.cursor + 1 AND least(t.tip, c.cursor + 400)"""))
+WHERE b.height BETWEEN c.cursor + 1 AND t.tip"""))
 def _(spark, sf):
     blocks = fx.ledger(spark, sf).blocks
     done = blocks.where("timestamp < TIMESTAMP_NTZ '2000-01-01'")
-    cursors = done.agg(F.max("height").alias("last_height")).select(F.lit("main").alias("cursor_key"), "last_height")
-    span = upsert.plan_range(spark, upsert.get_cursor(cursors, "main"),
-                             blocks.agg(F.max("height").alias("tip")), max_blocks=400)
-    return blocks.join(F.broadcast(span), F.col("height").between(F.col("lo"), F.col("hi"))).select("height", "hash")
+    stored = done.agg(F.min("height").alias("last_height")).select(F.lit("main").alias("cursor_key"), "last_height")
+    cursors = upsert.set_cursor(stored, "main", done.agg(F.max("height").alias("last_height")))
+    span = upsert.plan_range(spark, upsert.get_cursor(cursors, "main"), blocks.agg(F.max("height").alias("tip")))
+    # Scalar subqueries: the bounds reach the scan as a filter.
+    return blocks.where(F.col("height").between(span.select("lo").scalar(), span.select("hi").scalar())).select("height", "hash")
 
 
 @query("u8_upsert_attributions", sql("""

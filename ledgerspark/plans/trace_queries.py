@@ -168,19 +168,16 @@ def _(spark, sf):
 
 
 @query("t3_spend_state", sql("""
-SELECT txid, vout_index, CASE WHEN vout_index > 5 THEN 'unknown' WHEN spent_by_txid IS NULL THEN 'unspent'
-       WHEN (SELECT first_seen FROM transactions t WHERE t.txid = spent_by_txid) >= TIMESTAMP '2001-01-01'
-       THEN 'spent_unresolved' ELSE 'spent' END AS state,
-       CASE WHEN vout_index <= 5 AND (SELECT first_seen FROM transactions t WHERE t.txid = spent_by_txid)
-            < TIMESTAMP '2001-01-01' THEN spent_by_txid END AS spender
-FROM tx_outputs WHERE vout_index <= 5 OR spent_by_txid IS NULL"""))
+SELECT txid, vout_index, CASE WHEN spender IS NOT NULL THEN 'spent' WHEN vout_index > 5 THEN 'unknown'
+       WHEN spent_by_txid IS NULL THEN 'unspent' ELSE 'spent_unresolved' END AS state, spender
+FROM (SELECT o.*, t.txid AS spender FROM tx_outputs o
+      LEFT JOIN transactions t ON t.txid = o.spent_by_txid AND t.first_seen < TIMESTAMP '2001-01-01')"""))
 def _(spark, sf):
     led = fx.ledger(spark, sf)
     known = led.outputs.where("vout_index <= 5")  # deeper outputs play the unknown ones
     late = led.transactions.where("first_seen >= TIMESTAMP_NTZ '2001-01-01'").select("txid")
     inputs = led.inputs.join(late, "txid", "left_anti")
-    points = led.outputs.where(F.col("spent_by_txid").isNull() | (F.col("vout_index") <= 5))
-    return trace.spend_state(points, known, inputs, led.transactions)
+    return trace.spend_state(led.outputs, known, inputs, led.transactions)
 
 
 @query("t4_forward_spend_scan", sql("""
