@@ -268,7 +268,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     kept = _filter(repeated, repeated.count())
     parsed = rows.mapInArrow(_passes(kept), "trigger long, phrase long, id long, _key long, begin long, count long, repeat boolean")
     # A slice's repeats are done with; of the others the first occurrence in corpus order is the dictionary's.
-    order = Window.partitionBy("trigger", "phrase", "repeat").orderBy("id", "begin")
+    # Repeats share a place in the window only with themselves, so a phrase with many of them is spread.
+    spread = F.when(F.col("repeat"), F.xxhash64("id", "_key", "begin")).otherwise(0)
+    order = Window.partitionBy("trigger", "phrase", spread).orderBy("id", "begin")
     placed = shelf.put(parsed.withColumn("nth", F.when(F.col("repeat"), 2).otherwise(
         F.rank().over(order))).drop("repeat"), "phrases")
     whole = placed.where("nth > 1").select("id", "_key", F.col("begin").alias("low"), (F.col("begin") + F.col("count") - 1 + LENGTH).alias("high"))
