@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.rank import top_per
-from ledgerspark.operators.sweep import Sweep, expanded, sweep
+from ledgerspark.operators.sweep import Sweep, expanded, folded, sweep
 from ledgerspark.session import materialize
 
 
@@ -107,7 +107,7 @@ def k_hop_exposure(
 def entity_exposure(reach: DataFrame, links: DataFrame, entities: DataFrame, limit: int | None = None) -> DataFrame:
     """Entities behind reached addresses, weighted by link confidence over distance.
 
-    ``reach`` (seed, address, min_hop) may be complete or hold labelled addresses only, see :func:`labelled_reach`.
+    ``reach`` (seed, address, min_hop) may hold labelled addresses only; for many seeds see :func:`sweep_exposure`.
     """
     term = (F.col("confidence").cast("double") / (F.col("min_hop") + 1)).cast("decimal(28,10)")
     per_entity = (
@@ -123,12 +123,26 @@ def entity_exposure(reach: DataFrame, links: DataFrame, entities: DataFrame, lim
     return top_per(per_entity, ["seed"], order, limit)
 
 
-def labelled_reach(found: Sweep, links: DataFrame) -> DataFrame:
-    """(seed, address, min_hop) of reached addresses that ``links`` names, the seeds themselves aside."""
-    wanted = links.select("address").distinct()
-    return reduce(DataFrame.unionByName, [
-        expanded(level.join(wanted, "address", "left_semi"), found.seeds, "address").select("seed", "address", F.lit(hop).alias("min_hop"))
-        for hop, level in enumerate(found.levels)])
+def sweep_exposure(found: Sweep, links: DataFrame, entities: DataFrame, limit: int | None = None) -> DataFrame:
+    """G5 from a sweep: as :func:`entity_exposure`, summed over bits without a row per seed and address.
+
+    Whole numbers carry the sums: ten-thousand-millionths of the weighted terms, thousandths of the confidence.
+    """
+    labels = links.select("address", F.col("entity_id").alias("g"), F.col("confidence").alias("c"))
+    parts = []
+    for hop, level in enumerate(found.levels[1:], 1):
+        term = (F.col("c").cast("double") / (hop + 1)).cast("decimal(28,10)")
+        parts.append(level.join(labels, "address").withColumns({
+            "hop": F.lit(hop), "w": (term * F.lit(10**10)).cast("long"), "top": (F.col("c") * 1000).cast("long")}).drop("address", "c"))
+    if not parts:
+        parts = [found.levels[0].join(labels, "address").withColumns({c: F.lit(0) for c in ("hop", "w", "top")}).drop("address", "c").limit(0)]
+    sums = folded(reduce(DataFrame.unionByName, parts), found.seeds)
+    per_entity = sums.select(
+        "seed", F.col("g").alias("entity_id"), F.col("hop").alias("min_hop"), (F.col("top") / 1000.0).alias("max_link_confidence"),
+        (F.expr("(total + 5000000) div 10000000") / 1000.0).alias("weighted_exposure"))
+    named = per_entity.join(entities.select("entity_id", "name", "category"), "entity_id")
+    order = [F.col("weighted_exposure").desc(), F.col("min_hop"), F.col("name"), F.col("entity_id")]
+    return top_per(named, ["seed"], order, limit)
 
 
 def tx_stats(transactions: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -108,3 +108,47 @@ def bits_per_seed(marked: list[DataFrame], seeds: DataFrame, out: str) -> DataFr
     rows = reduce(DataFrame.unionByName, [df.select("block", *MASKS) for df in marked])
     counted = rows.mapInArrow(_count_bits, "block long, bit int, n long").groupBy("block", "bit").agg(F.sum("n").alias(out))
     return counted.join(seeds, ["block", "bit"]).select("seed", out)
+
+
+def _fold(batches):
+    """Per block, group and seed of a batch: rows, sum of ``w``, largest ``top`` and least ``hop``."""
+    for batch in batches:
+        block, group, hop, w, top = (np.asarray(batch.column(i)) for i in range(5))
+        if not len(block):
+            continue
+        masks = np.stack([np.asarray(batch.column(i + 5)).view(np.uint64) for i in range(WORDS)], axis=1)
+        order = np.lexsort((group, block))
+        b, g = block[order], group[order]
+        cuts = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (g[1:] != g[:-1])]))
+        out: list[list[np.ndarray]] = [[] for _ in range(7)]
+        for first, last in zip(cuts.tolist(), [*cuts[1:].tolist(), len(b)], strict=True):
+            n = np.zeros(BITS, np.int64)
+            total, most, least = np.zeros(BITS, np.int64), np.full(BITS, -1, np.int64), np.full(BITS, 1 << 30, np.int64)
+            for i in range(first, last, 2048):
+                rows = order[i:min(last, i + 2048)]
+                bits = np.unpackbits(np.ascontiguousarray(masks[rows]).view(np.uint8), axis=1, bitorder="little").astype(bool)
+                n += bits.sum(axis=0)
+                total += np.where(bits, w[rows][:, None], 0).sum(axis=0)
+                most = np.maximum(most, np.where(bits, top[rows][:, None], -1).max(axis=0))
+                least = np.minimum(least, np.where(bits, hop[rows][:, None], 1 << 30).min(axis=0))
+            at = np.flatnonzero(n)
+            for held, values in zip(out, (np.full(len(at), b[first]), np.full(len(at), g[first]), at, n[at], total[at], most[at], least[at]), strict=True):
+                held.append(values)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(v).astype(k.to_pandas_dtype())) for v, k in zip(out, kinds, strict=True)],
+            names=["block", "g", "bit", "n", "total", "top", "hop"])
+
+
+def folded(marked: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, g, n, total, top, hop): what :func:`_fold` sums, over all rows (block, g, hop, w, top, masks).
+
+    Bits are summed as columns, so no row per seed and row of ``marked`` is ever made. Rows of one group may lie in
+    several tasks; their sums are added afterwards.
+    """
+    cast = {"block": "long", "g": "long", "hop": "int", "w": "long", "top": "long"}
+    rows = marked.select(*[F.col(c).cast(t).alias(c) for c, t in cast.items()], *MASKS)
+    dealt = rows.repartition("block", "g", F.pmod(F.xxhash64(*MASKS), F.lit(8))).sortWithinPartitions("block", "g")
+    sums = dealt.mapInArrow(_fold, "block long, g long, bit int, n long, total long, top long, hop int").groupBy("block", "g", "bit").agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("top").alias("top"), F.min("hop").alias("hop"))
+    return sums.join(seeds, ["block", "bit"]).drop("block", "bit")

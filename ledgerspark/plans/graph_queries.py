@@ -21,7 +21,7 @@ def _reach(spark, sf):
 def _exposures(spark, sf):
     led, links = fx.ledger(spark, sf), fx.entity_links(spark, sf)
     found = sweep(fx.seeds(spark, sf), graph.spenders(led.inputs), graph.receivers(led.outputs), 3)
-    return graph.entity_exposure(graph.labelled_reach(found, links), links, fx.entities(spark, sf))
+    return graph.sweep_exposure(found, links, fx.entities(spark, sf))
 
 
 @query("g1_address_edges", sql("SELECT src, dst FROM edges"))
