@@ -212,7 +212,8 @@ def test_colliding_draws_are_told_apart(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     # So few forms that first draws must collide.
-    monkeypatch.setattr(surrogates, "surrogate", lambda key: F.concat(F.lit("s"), F.pmod(F.xxhash64("digest"), F.lit(40)).cast("string")))
+    monkeypatch.setattr(surrogates, "draws", lambda: [
+        (F.lit(True), F.concat(F.lit("s"), F.pmod(F.xxhash64("digest"), F.lit(40)).cast("string")))])
     rows = [("email", f"n{i}", "", "") for i in range(20)]
     got = surrogates.dictionary(spark.createDataFrame(rows, "kind string, normal string, script string, gender string"), "k").collect()
     assert len(got) == 20 == len({r.stands for r in got})
