@@ -185,6 +185,23 @@ def test_changed_parameters_are_found_if_consistent(spark):
     assert got[:2] == [1, 2] and 3 not in got and 4 not in got
 
 
+def test_edited_and_recased_copies_are_found(spark):
+    item = ("at dawn old farmer Alice counted 40 grey sheep beside the river while her brother Robert drove 40 brown cows along "
+            "the muddy lane towards the distant village market where merchants sold wool and cheese until late evening and then "
+            "everyone walked slowly home again under the bright summer stars")
+    names = "we saw Anna meet Boris and Clara greet David while Elena told Felix that Greta knew Hanna"
+    changed = item.replace("40", "75").replace("Alice", "Maria")
+    docs = [(1, item.replace("the river", "the broad river")), (2, changed.replace("the river", "the broad river")),
+            (3, changed.replace("beside the river", "beside river")), (4, item.replace("40 brown", "41 brown")),
+            (5, names.lower()), (6, names.upper()),
+            (7, changed.replace("75 brown", "76 brown")),
+            (8, changed.replace("75 brown", "76 brown") + " " + changed)]
+    bench = spark.createDataFrame([(1, item), (2, names)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.start for r in decontaminate.leaks(spark.createDataFrame(docs, DOC), bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2), (6, 2), (8, 1)}
+    assert got[8, 1] == len(item.split())
+
+
 def test_surrogates(spark, odd_docs, no_docs):
     docs = [(1, "Mail bob.smith7@corp.example.com or BOB.SMITH7@corp.example.com, call +1 (415) 555-2671 or +1 415 555 2671."),
             (2, "Card 4111 1111 1111 1111 from 10.1.2.3; bob.smith7@corp.example.com wrote."),
