@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +19,10 @@ from ledgerspark.functions.rank import top_per
 from ledgerspark.operators.ledger import Ledger
 from ledgerspark.session import materialize
 
-# Limits of the trace.
-MAX_HOPS = 8
+# Thresholds of the trace. A trace is not bounded unless a caller gives ``max_hops`` or ``max_branches``.
 DUST_SATS = 546
-MAX_BRANCHES = 5
 POOLING_FACTOR = 3
-LEDGER_MAX_HOPS, LEDGER_BRANCHES = 10, 5
+FOLD = 16
 
 CONFIDENCE_LABELS = {"L1": "Mathematically proven", "L2": "Forensically corroborated"}
 
@@ -149,10 +148,10 @@ def _first_queue(cases: DataFrame, ledger: Ledger) -> DataFrame:
         F.col("o.amount_sats").alias("sats"), F.col("o.spent_by_txid").alias("flag"))
 
 
-def _process(queue: DataFrame, visited: DataFrame | None, ledger: Ledger, depth: int, max_hops: int) -> DataFrame:
+def _process(queue: DataFrame, visited: DataFrame | None, ledger: Ledger, depth: int, max_hops: int | None) -> DataFrame:
     """Decide each queued output in order: its state, whether it makes a hop, and which number the hop has.
 
-    A case queues at most MAX_BRANCHES outputs per hop, so windows over a case are small.
+    Windows over a case hold its outputs of one depth.
     """
     lowest = F.min(F.struct(F.coalesce("spend_height", F.lit(2**62)).alias("h"), "spender", "spend_height", "spend_seen",
                             "is_loaded"))
@@ -181,8 +180,9 @@ def _process(queue: DataFrame, visited: DataFrame | None, ledger: Ledger, depth:
         .withColumn("makes", (F.col("is_hop") | F.col("is_stub")).cast("int"))
         .withColumn("before", F.col("used") + F.coalesce(
             F.sum("makes").over(of_case.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .where(F.col("before") < max_hops)
     )
+    if max_hops is not None:
+        counted = counted.where(F.col("before") < max_hops)
     return counted.withColumn("total", F.col("used") + F.sum("makes").over(Window.partitionBy("case_id"))).select(
         "case_id", "ord", F.lit(depth).alias("depth"), "txid", "address", "vout_index", "sats", "state", "spender",
         "spend_height", "spend_seen", "is_hop", "is_stub", "before", (F.col("before") + 1).alias("hop_no"), "total")
@@ -203,13 +203,13 @@ def _receivers_of(items: DataFrame, ledger: Ledger, known: DataFrame) -> DataFra
         "exchange", "label", "source")
 
 
-def hop_outputs(outs: DataFrame) -> DataFrame:
-    """Receivers a hop shows: every exchange, the largest other ones, else the single largest output."""
+def hop_outputs(outs: DataFrame, max_branches: int | None = None) -> DataFrame:
+    """Receivers a hop shows: every exchange, the others by size (the ``max_branches`` largest, if given), else the single largest output."""
     key = ["case_id", "hop_no"]
     columns = [*key, "ord", "address", "sats", "is_exchange", "exchange", "source", "label"]
     exchanges = outs.where("is_exchange").withColumn("ord", F.col("vout_index").cast("bigint"))
     other = outs.where(~F.col("is_exchange") & (F.col("is_self") | (F.col("sats") > DUST_SATS)))
-    best = top_per(other, key, [F.col("sats").desc(), F.col("vout_index")], MAX_BRANCHES)
+    best = top_per(other, key, [F.col("sats").desc(), F.col("vout_index")], max_branches)
     best = best.withColumn("ord", F.col("rank") + F.lit(AFTER_EXCHANGES))
     counted = outs.groupBy(*key).agg(
         F.count_if(F.col("is_exchange") | F.col("is_self") | (F.col("sats") > DUST_SATS)).alias("n"),
@@ -300,7 +300,7 @@ def endpoint_annotate(hops: DataFrame, legs: DataFrame, ended: DataFrame, known:
     """Write how a branch ended onto the latest earlier hop that pays its address.
 
     ``ended`` has the outputs where a branch stopped, ``before`` being the number of hops
-    that existed then. A case ends at most MAX_BRANCHES branches per hop.
+    that existed then. The notes of a record are one text, so those of a hop are brought together.
     """
     paid = legs.where(F.col("side") == "to").select("case_id", "hop_no", "address").distinct()
     target = ended.join(paid, ["case_id", "address"]).where(F.col("hop_no") <= F.col("before")).groupBy(
@@ -335,10 +335,7 @@ def endpoint_annotate(hops: DataFrame, legs: DataFrame, ended: DataFrame, known:
 
 
 def dedupe_hops(hops: DataFrame, legs: DataFrame) -> Trace:
-    """By depth and txid, one record per transaction and first sender, numbered from 1.
-
-    A case has at most ``max_hops`` records.
-    """
+    """By depth and txid, one record per transaction and first sender, numbered from 1."""
     same = Window.partitionBy("case_id", "txid", "from_address").orderBy("depth", "hop_no")
     order = Window.partitionBy("case_id").orderBy("depth", "txid", "hop_no")
     numbered = hops.withColumn("nth", F.row_number().over(same)).where("nth = 1").drop("nth").withColumn(
@@ -354,38 +351,58 @@ def known_addresses(attribution: DataFrame) -> DataFrame:
         "address", "exchange", "label", "source", "is_evidential", "is_sanctioned")
 
 
-def trace_cases(ledger: Ledger, cases: DataFrame, attribution: DataFrame, max_hops: int = MAX_HOPS) -> Trace:
-    """T5: the trace of every case (case_id, fraud_txid, recipient), level by level.
+class _Pile:
+    """Tables of one shape; each FOLD of them are written as one, so that plans stay small however many levels there are."""
+
+    def __init__(self, name: str) -> None:
+        self.name, self.tiers = name, []
+
+    def add(self, df: DataFrame) -> None:
+        for tier in self.tiers:
+            tier.append(df)
+            if len(tier) < FOLD:
+                return
+            df = materialize(reduce(DataFrame.unionByName, tier), self.name)
+            tier.clear()
+        self.tiers.append([df])
+
+    def whole(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df for tier in self.tiers for df in tier])
+
+
+def trace_cases(
+    ledger: Ledger, cases: DataFrame, attribution: DataFrame, max_hops: int | None = None, max_branches: int | None = None
+) -> Trace:
+    """T5: the trace of every case (case_id, fraud_txid, recipient), level by level until no output is left to follow.
 
     Within a case the queue is first in, first out, so all items of one depth precede those
-    of the next; one round treats one depth of all cases. A round that adds a hop is needed
-    for the next, so there are at most ``max_hops`` rounds with hops.
+    of the next; one round treats one depth of all cases. A case follows a transaction once, so
+    the rounds end. ``max_hops`` bounds the records of a case, ``max_branches`` the receivers of a hop, where a caller wants that.
     """
     known = materialize(known_addresses(attribution), "known")
     queue = _first_queue(cases, ledger)
     visited: DataFrame | None = None
-    hops, legs, ended = [], [], []
-    for depth in range(1, max_hops + 2):
+    hops, legs, ended = _Pile("trace-hops"), _Pile("trace-legs"), _Pile("trace-ended")
+    for depth in count(1):
         items = materialize(_process(queue, visited, ledger, depth, max_hops), "trace-items")
-        ended.append(items.where(F.col("state").isin("unspent", "spent_unresolved", "unknown") & ~F.col("is_stub")).drop("hop_no"))
+        ended.add(items.where(F.col("state").isin("unspent", "spent_unresolved", "unknown") & ~F.col("is_stub")).drop("hop_no"))
         if depth == 1:
-            hops.append(_stubs(items, ledger.transactions))
+            hops.add(_stubs(items, ledger.transactions))
             stub = items.where("is_stub").select("case_id", "hop_no", "address", "sats")
-            legs += [_leg(stub, "from"), _leg(stub, "to")]
+            legs.add(_leg(stub, "from").unionByName(_leg(stub, "to")))
         if items.where("is_hop").isEmpty():
             break
         outs = materialize(_receivers_of(items, ledger, known), "trace-outs")
-        shown = materialize(hop_outputs(outs), "trace-legs")
+        shown = materialize(hop_outputs(outs, max_branches), "trace-legs")
         facts = hop_facts(outs)
-        hops.append(hop_classify(items, facts))
-        legs += [_leg(items.where("is_hop").select("case_id", "hop_no", "address", "sats"), "from"),
-                 shown.withColumn("side", F.lit("to"))]
+        hops.add(hop_classify(items, facts))
+        legs.add(_leg(items.where("is_hop").select("case_id", "hop_no", "address", "sats"), "from").unionByName(
+            shown.withColumn("side", F.lit("to"))))
         spent = items.where((F.col("state") == "spent")).select("case_id", "spender").distinct()
-        visited = spent if visited is None else visited.unionByName(spent).distinct()
+        visited = materialize(spent if visited is None else visited.unionByName(spent).distinct(), "trace-seen")
         queue = _next_queue(outs, shown, facts)
-    union = lambda parts: reduce(DataFrame.unionByName, parts)
-    all_legs = union(legs)
-    marked = endpoint_annotate(union(hops), all_legs, union(ended), known)
+    all_legs = legs.whole()
+    marked = endpoint_annotate(hops.whole(), all_legs, ended.whole(), known)
     result = dedupe_hops(materialize(marked, "trace-hops"), all_legs)
     return Trace(materialize(result.hops, "trace"), materialize(result.legs, "trace"))
 
@@ -473,11 +490,12 @@ def build_hop0(ledger: Ledger, cases: DataFrame, victims: DataFrame, attribution
 
 
 def full_trace(
-    ledger: Ledger, cases: DataFrame, victims: DataFrame, attribution: DataFrame, max_hops: int = MAX_HOPS
+    ledger: Ledger, cases: DataFrame, victims: DataFrame, attribution: DataFrame, max_hops: int | None = None,
+    max_branches: int | None = None,
 ) -> Trace:
     """T11 and T5 together: a recipient that is an exchange ends the chain when nothing follows."""
     start = build_hop0(ledger, cases, victims, attribution)
-    rest = trace_cases(ledger, cases, attribution, max_hops)
+    rest = trace_cases(ledger, cases, attribution, max_hops, max_branches)
     followed = rest.hops.select("case_id").distinct().withColumn("is_followed", F.lit(True))
     at_recipient = start.legs.where((F.col("side") == "to") & (F.col("ord") == 0) & F.col("is_exchange")).select(
         "case_id", F.lit(True).alias("is_deposit"))
@@ -491,23 +509,24 @@ def full_trace(
 # -- following stored links ----------------------------------------------------------------
 
 
-def ledger_hops(ledger: Ledger, cases: DataFrame, max_hops: int = LEDGER_MAX_HOPS) -> Trace:
-    """Breadth first over stored spend links, up to five spent outputs per transaction.
+def ledger_hops(ledger: Ledger, cases: DataFrame, max_hops: int | None = None, max_branches: int | None = None) -> Trace:
+    """Breadth first over stored spend links until none is left.
 
-    The number of records is tested per level, so the last level may pass ``max_hops``.
+    Where a caller gives them, ``max_branches`` bounds the spent outputs per transaction, and ``max_hops`` the records; these are
+    counted per level, so the last level may pass it.
     """
     spent = ledger.outputs.where(F.col("spent_by_txid").isNotNull()).select(
         "txid", "vout_index", "address", F.col("amount_sats").alias("sats"), F.col("spent_by_txid").alias("to_txid"))
     level = cases.select("case_id", F.col("fraud_txid").alias("txid"), F.lit(1).cast("bigint").alias("pos"),
                          F.lit(0).cast("bigint").alias("used"))
     visited: DataFrame | None = None
-    found = []
+    found = _Pile("ledger-hops")
     while True:
         level = materialize(level, "ledger-level")
         seen = level.select("case_id", F.col("txid").alias("to_txid"), "pos")
         if visited is not None:
             seen = seen.unionByName(visited)
-        candidates = top_per(level.join(spent, "txid"), ["case_id", "txid", "pos", "used"], [F.col("vout_index")], LEDGER_BRANCHES)
+        candidates = top_per(level.join(spent, "txid"), ["case_id", "txid", "pos", "used"], [F.col("vout_index")], max_branches)
         # A spender counts as visited when it was expanded before, or earlier (or just now) in this level.
         earlier = seen.groupBy("case_id", "to_txid").agg(F.min("pos").alias("seen_pos"))
         fresh = candidates.join(earlier, ["case_id", "to_txid"], "left").where(
@@ -516,20 +535,20 @@ def ledger_hops(ledger: Ledger, cases: DataFrame, max_hops: int = LEDGER_MAX_HOP
         records = materialize(fresh.select(
             "case_id", (F.col("used") + F.row_number().over(order)).alias("hop"), "txid", "to_txid", "address", "sats"),
             "ledger-hops")
+        found.add(records)
         if records.isEmpty():
             break
-        found.append(records)
         visited = materialize(seen.select("case_id", "to_txid", F.lit(0).cast("bigint").alias("pos")).distinct(), "ledger-seen")
         nxt = records.groupBy("case_id", F.col("to_txid").alias("txid")).agg(F.min("hop").alias("pos"))
         totals = records.groupBy("case_id").agg(F.max("hop").alias("used"))
+        if max_hops is not None:
+            totals = totals.where(F.col("used") < max_hops)
         level = (
-            nxt.join(totals.where(F.col("used") < max_hops), "case_id")
+            nxt.join(totals, "case_id")
             .join(visited.select("case_id", F.col("to_txid").alias("txid")), ["case_id", "txid"], "left_anti")
             .select("case_id", "txid", "pos", "used")
         )
-    if not found:
-        return _ledger_trace(records, ledger)
-    return _ledger_trace(reduce(DataFrame.unionByName, found), ledger)
+    return _ledger_trace(found.whole(), ledger)
 
 
 def _ledger_trace(records: DataFrame, ledger: Ledger) -> Trace:

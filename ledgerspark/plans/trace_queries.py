@@ -1,8 +1,8 @@
 """Queries that trace the reported cases and describe the traces.
 
-A full trace is sequential within a case and has no SQL form; it is checked against a
-brute-force walk in the tests. The SQL here covers traces of one hop (``_one_hop``) and
-everything built on hop 0 and that hop.
+A full trace is sequential within a case and has no SQL here; it is checked against ledgers
+followed by hand in the tests. The SQL here covers traces of one hop with at most ONE_HOP_BRANCHES
+receivers (``_one_hop``) and everything built on hop 0 and that hop.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from ledgerspark.plans.sqlparts import query as sql
 from ledgerspark.session import materialize
 from ledgerspark.sources import fixture as fx
 
+ONE_HOP_BRANCHES = 5
+
 _traces: dict[tuple, trace.Trace] = {}
 
 
@@ -39,17 +41,17 @@ def _attribution(spark, sf):
     return _cached(spark, sf, "attribution", lambda: materialize(resolved(spark, sf), "attribution"))
 
 
-def _full(spark, sf, max_hops=trace.MAX_HOPS):
-    return _cached(spark, sf, f"full{max_hops}", lambda: trace.full_trace(
-        fx.ledger(spark, sf), _cases(spark, sf), _victims(spark, sf), _attribution(spark, sf), max_hops))
+def _full(spark, sf, max_hops=None, max_branches=None):
+    return _cached(spark, sf, f"full{max_hops}-{max_branches}", lambda: trace.full_trace(
+        fx.ledger(spark, sf), _cases(spark, sf), _victims(spark, sf), _attribution(spark, sf), max_hops, max_branches))
 
 
 def _one_hop(spark, sf):
-    return _full(spark, sf, 1)
+    return _full(spark, sf, 1, ONE_HOP_BRANCHES)
 
 
-def _trace(spark, sf, max_hops):
-    return trace.trace_cases(fx.ledger(spark, sf), _cases(spark, sf), _attribution(spark, sf), max_hops)
+def _trace(spark, sf, max_hops=None, max_branches=None):
+    return trace.trace_cases(fx.ledger(spark, sf), _cases(spark, sf), _attribution(spark, sf), max_hops, max_branches)
 
 
 # -- SQL: hop 0 and the first hop ----------------------------------------------------------
@@ -193,17 +195,17 @@ def _(spark, sf):
 
 @query("t5_trace_cases")
 def _(spark, sf):
-    return _trace(spark, sf, trace.MAX_HOPS).hops.select(*_HOP_COLUMNS)
+    return _trace(spark, sf).hops.select(*_HOP_COLUMNS)
 
 
 @query("t5_t8_trace_one_hop", sql(_HOP.format("one_hops")))
 def _(spark, sf):
-    return _trace(spark, sf, 1).hops.select(*_HOP_COLUMNS)
+    return _trace(spark, sf, 1, ONE_HOP_BRANCHES).hops.select(*_HOP_COLUMNS)
 
 
 @query("t6_hop_outputs", sql("SELECT * FROM all_legs WHERE hop = 1"))
 def _(spark, sf):
-    return _trace(spark, sf, 1).legs.select(*_LEG_COLUMNS)
+    return _trace(spark, sf, 1, ONE_HOP_BRANCHES).legs.select(*_LEG_COLUMNS)
 
 
 @query("t7_pooling_flag", sql("SELECT case_id, max_sats, from_sats, is_pooling FROM first_facts"))
@@ -242,7 +244,7 @@ FROM fraud_cases c JOIN (SELECT * FROM tx_outputs WHERE spent_by_txid IS NOT NUL
   QUALIFY row_number() OVER (PARTITION BY txid ORDER BY vout_index) <= 5) o ON o.txid = c.fraud_txid
 JOIN transactions t ON t.txid = c.fraud_txid"""))
 def _(spark, sf):
-    return trace.ledger_hops(fx.ledger(spark, sf), _cases(spark, sf), max_hops=1).hops.select("case_id", "hop", "txid", "block")
+    return trace.ledger_hops(fx.ledger(spark, sf), _cases(spark, sf), 1, ONE_HOP_BRANCHES).hops.select("case_id", "hop", "txid", "block")
 
 
 @query("t13_exchange_endpoints", sql("SELECT * FROM endpoints"))

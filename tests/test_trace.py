@@ -102,3 +102,15 @@ def test_columns_and_way_back_of_a_chain(spark):
     assert [(e.address, e.name) for e in endpoints.collect()] == [("kraken", "Kraken")]
     path = flow.freeze_paths(endpoints, result, cases, victims).orderBy("position").collect()
     assert [n.subtitle for n in path] == ["victim", "thief", "middle", "kraken"]
+
+
+def test_many_records_and_branches_are_followed_to_their_end(spark):
+    led = ledger(spark, [START, ("w", ["t0:0"], [(f"a{n}", 700 - n) for n in range(8)])]
+                 + [(f"s{n}", [f"w:{n}"], [(f"b{n}", 600)]) for n in range(8)]
+                 + [("x", ["s7:0"], [("far", 590)]), ("end", ["x:0"], [("kraken", 580)])])
+    want = ["w", *[f"s{n}" for n in range(8)], "x", "end"]
+    rows = traced(spark, led, None)
+    assert [txid for _, txid, *_ in rows] == want
+    assert len(rows[0][2]) == 8 and rows[-1][3:] == ("exchange", "L2", "Kraken")
+    cases = spark.createDataFrame([("c", "t0", "")], CASE)
+    assert [h.txid for h in trace.ledger_hops(led, cases).hops.orderBy("hop").collect()] == want
