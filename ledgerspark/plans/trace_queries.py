@@ -461,3 +461,64 @@ WHERE l.side = 'to'"""))
 def _(spark, sf):
     return flow.investigation_addresses(_one_hop(spark, sf), _cases(spark, sf)).withColumn(
         "amount_btc", F.col("amount_btc").cast("double"))
+
+
+# -- the same on whole traces, without SQL -------------------------------------------------
+
+
+@query("t13_exchange_endpoints_full")
+def _(spark, sf):
+    return flow.exchange_endpoints(_full(spark, sf))
+
+
+@query("t14_freeze_groups_full")
+def _(spark, sf):
+    return flow.freeze_groups(flow.exchange_endpoints(_full(spark, sf)))
+
+
+@query("t16_flow_edges_full")
+def _(spark, sf):
+    return flow.flow_edges(_full(spark, sf))
+
+
+def _full_stats(spark, sf):
+    tr = _full(spark, sf)
+    return flow.flow_stats(_nodes(spark, sf, tr), tr, _columns(spark, sf, tr))
+
+
+@query("t17_flow_stats_full")
+def _(spark, sf):
+    return _full_stats(spark, sf)
+
+
+@query("t17_flow_lanes_full")
+def _(spark, sf):
+    return flow.flow_lanes(_full_stats(spark, sf))
+
+
+@query("t18_collapse_victims_full")
+def _(spark, sf):
+    tr = _full(spark, sf)
+    return flow.collapse_victims(_nodes(spark, sf, tr), flow.flow_edges(tr))[0]
+
+
+@query("t18_collapsed_edges_full")
+def _(spark, sf):
+    tr = _full(spark, sf)
+    return flow.collapse_victims(_nodes(spark, sf, tr), flow.flow_edges(tr))[1]
+
+
+@query("t22_chain_of_custody_full")
+def _(spark, sf):
+    return flow.chain_of_custody(_full(spark, sf))
+
+
+@query("t22_custody_legs_full")
+def _(spark, sf):
+    return flow.custody_legs(_full(spark, sf))
+
+
+@query("c9_investigation_addresses_full")
+def _(spark, sf):
+    return flow.investigation_addresses(_full(spark, sf), _cases(spark, sf)).withColumn(
+        "amount_btc", F.col("amount_btc").cast("double"))

@@ -114,3 +114,25 @@ def test_many_records_and_branches_are_followed_to_their_end(spark):
     assert len(rows[0][2]) == 8 and rows[-1][3:] == ("exchange", "L2", "Kraken")
     cases = spark.createDataFrame([("c", "t0", "")], CASE)
     assert [h.txid for h in trace.ledger_hops(led, cases).hops.orderBy("hop").collect()] == want
+
+
+def test_queries_on_whole_traces_go_past_the_first_hop(spark, monkeypatch):
+    from ledgerspark.plans import QUERIES, trace_queries
+
+    led = ledger(spark, [START, ("t1", ["t0:0"], [("middle", 4900)]), ("t2", ["t1:0"], [("kraken", 4800)])])
+    known = spark.createDataFrame(KNOWN, "address string, exchange string, label string, source string, is_evidential boolean, is_sanctioned boolean")
+    cases = spark.createDataFrame([("c", "t0", "thief")], CASE)
+    victims = spark.createDataFrame([("c", "victim"), ("c", "another")], "case_id string, address string")
+    whole = trace.full_trace(led, cases, victims, known)
+    monkeypatch.setattr(trace_queries, "_full", lambda *_: whole)
+    monkeypatch.setattr(trace_queries, "_cases", lambda *_: cases)
+    monkeypatch.setattr(trace_queries, "_victims", lambda *_: victims)
+    rows = lambda name: QUERIES[name + "_full"](spark, "").collect()
+    assert [(r.address, r.hop) for r in rows("t13_exchange_endpoints")] == [("kraken", 2)]
+    assert [(r.name, r.total_sats) for r in rows("t14_freeze_groups")] == [("Kraken", 4800)]
+    assert {(r.from_address, r.to_address) for r in rows("t16_flow_edges")} >= {("thief", "middle"), ("middle", "kraken")}
+    assert [r.max_column for r in rows("t17_flow_stats")] == [3] and len(rows("t17_flow_lanes")) == 4
+    assert [r.member_count for r in rows("t18_collapse_victims")] == [2]
+    assert ("middle", "kraken") in {(r.from_address, r.to_address) for r in rows("t18_collapsed_edges")}
+    assert {r.hop for r in rows("t22_chain_of_custody")} == {r.hop for r in rows("t22_custody_legs")} == {0, 1, 2}
+    assert max(r.hop_index for r in rows("c9_investigation_addresses")) == 2
