@@ -112,14 +112,14 @@ def linked_spans(scanned: DataFrame) -> DataFrame:
     """(row, kind, start, end) of weak parts whose complement lies within :data:`SCOPE`.
 
     An identifier needs a secret, a key an identifier, an endpoint both. The join is on the document and
-    a bin of SCOPE code points; a bin holds few parts, as parts of one kind do not overlap.
+    a bin of SCOPE code points, of which a long part has several; a bin holds few parts, as parts of one kind do not overlap.
     """
     parts = scanned.where("weak").select("row", F.explode("parts").alias("p")).select("row", "p.*").withColumn(
         "role", F.when(F.col("kind").isin(1, 3), "identifier").when(F.col("kind").isin(0, 2, 4), "secret").otherwise("endpoint"))
     near = parts.select(
         F.col("row"), F.col("role").alias("other"), F.col("start").alias("s"), F.col("end").alias("e"),
         F.explode(F.sequence(F.floor((F.col("start") - SCOPE) / SCOPE), F.floor((F.col("end") + SCOPE) / SCOPE))).alias("bin"))
-    mine = parts.where("kind >= 3").withColumn("bin", F.floor(F.col("start") / SCOPE))
+    mine = parts.where("kind >= 3").withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE))))
     met = mine.join(near, ["row", "bin"]).where(
         (F.col("role") != F.col("other")) & (F.col("s") <= F.col("end") + SCOPE) & (F.col("e") >= F.col("start") - SCOPE))
     return (
