@@ -63,6 +63,23 @@ def _(spark, sf):
     return graph.k_hop_exposure(fx.seeds(spark, sf), led.inputs, led.outputs, limit=100)
 
 
+@query("g4_k_hop_exposure_full", sql("""
+SELECT seed, address, CAST(min(hop) AS INTEGER) AS min_hop, CAST(sum(n) AS BIGINT) AS path_count,
+       CAST(row_number() OVER (PARTITION BY seed ORDER BY min(hop), sum(n) DESC, address) AS INTEGER) AS rank
+FROM (
+  SELECT seed, a.dst AS address, 1 AS hop, count(*) AS n FROM seeds JOIN edges a ON a.src = seed GROUP BY 1, 2
+  UNION ALL
+  SELECT seed, b.dst, 2, count(*) FROM seeds JOIN edges a ON a.src = seed JOIN edges b ON b.src = a.dst
+  WHERE b.dst <> seed GROUP BY 1, 2
+  UNION ALL
+  SELECT seed, c.dst, 3, count(*) FROM seeds JOIN edges a ON a.src = seed JOIN edges b ON b.src = a.dst
+  JOIN edges c ON c.src = b.dst WHERE b.dst <> seed AND c.dst <> seed AND c.dst <> a.dst GROUP BY 1, 2)
+GROUP BY seed, address"""))
+def _(spark, sf):
+    led = fx.ledger(spark, sf)
+    return graph.k_hop_exposure(fx.seeds(spark, sf), led.inputs, led.outputs)
+
+
 @query("g5_entity_exposure", sql("SELECT * FROM exposures"))
 def _(spark, sf):
     return _exposures(spark, sf)
@@ -86,6 +103,13 @@ def _(spark, sf):
     return patterns.pattern_features(fx.ledger(spark, sf), fx.seeds(spark, sf), limit=200)
 
 
+@query("p1_pattern_features_full", sql("""
+SELECT seed, txid, min_hop, input_addr_count, output_addr_count, vin_count, vout_count, total_output_sats,
+       top_output_ratio FROM features"""))
+def _(spark, sf):
+    return patterns.pattern_features(fx.ledger(spark, sf), fx.seeds(spark, sf))
+
+
 @query("p3_rule_predicate", sql("""
 SELECT s.txid, r.rule_id FROM stats s JOIN rules r
   ON (r.min_input_addr_count IS NULL OR s.input_addr_count >= r.min_input_addr_count)
