@@ -2,7 +2,7 @@
 
 Fixed rules (host and path prefix, the longest wins) come first. Every other URL is judged by rules mined
 from labelled pages: a URL's tokens are its host's labels and domains, path parts, suffix and query names; FP-growth
-finds the token sets that go along with a bad label, and rules with enough support, confidence and lift are
+finds the token sets that go along with a bad label, and rules with enough support and confidence are
 kept, of nested ones with equal confidence the shorter. An inverted index holds each rule under its rarest
 token, so a URL meets only rules whose rarest token it has; the rest of the rule is then compared.
 
@@ -30,7 +30,6 @@ SUPPORT = 0.001
 LEAST = 5
 """A rule's tokens and the bad label occur together in this share of labelled pages, and on so many, at least."""
 CONFIDENCE = 0.7
-LIFT = 2.0
 BAD = "label=bad"
 BROADCAST_RULES = 200_000
 
@@ -90,7 +89,7 @@ def mine(urls: DataFrame, labels: DataFrame) -> DataFrame:
         return none
     slim = baskets.select(F.array_intersect("items", F.array(*[F.lit(t) for t in useful])).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n), minConfidence=CONFIDENCE).fit(slim)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BAD) & (F.col("lift") >= LIFT)).select(
+    rules = model.associationRules.where(F.element_at("consequent", 1) == BAD).select(
         F.array_sort("antecedent").alias("items"), "confidence", "lift", "support")
     rules = shelf.put(rules.withColumn("rule_id", F.xxhash64("items")), "rules")
     # A rule that adds tokens to another without more confidence says nothing new.
