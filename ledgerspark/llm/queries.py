@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import chat, decontaminate, packing, repeats, secrets, simhash, surrogates, toxicity, urlrules, vectors
+from ledgerspark.llm import (
+    chat,
+    decontaminate,
+    packing,
+    ranking,
+    repeats,
+    secrets,
+    simhash,
+    spelling,
+    subtrees,
+    surrogates,
+    toxicity,
+    urlrules,
+    vectors,
+)
 from ledgerspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +101,47 @@ def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced."""
     return surrogates.replace_personal_data(table(spark, sf_dir, "documents"), key="demonstration key, to be replaced")
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form and root of every word."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op12_ranked_search"] = f"""
+WITH held AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_LOWER}, '{_TERM}') AS found FROM documents WHERE text IS NOT NULL),
+sized AS (SELECT r, doc_id, found, len(found)::BIGINT AS n FROM held WHERE len(found) > 0),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sized),
+asked AS (
+  SELECT item_id, term, count(*)::BIGINT AS q
+  FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark WHERE text IS NOT NULL)
+  GROUP BY ALL),
+tf AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(found) AS term FROM sized)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, corpus GROUP BY term, docs),
+scored AS (
+  SELECT item_id, doc_id, r, sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM tf JOIN asked USING (term) JOIN weights USING (term) JOIN sized USING (r), corpus GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+@query
+def op13_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to passages of words that occur elsewhere."""
+    found = subtrees.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
