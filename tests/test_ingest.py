@@ -56,7 +56,7 @@ def test_single_transactions_in_both_dialects(spark, tmp_path):
                 "status": {"confirmed": True, "block_height": 9, "block_time": 1_700_000_060}}
     raw = readers.read_transactions(spark, write(tmp_path / "t", node, coin, open_tx, explorer))
     btc = {(r.txid, r.vout_index): float(r.btc) for r in normalize.lookup_outputs(raw).collect()}
-    assert btc == {("cb", 0): 6.25, ("t", 1): 0.0, ("e", 0): 1.5}
+    assert btc == {("cb", 0): 6.25, ("t", 0): 0.12345679, ("t", 1): 0.0, ("e", 0): 1.5}
     info = {r.txid: (r.block_height, r.timestamp) for r in normalize.tx_block_info(raw).collect()}
     assert info["e"] == (9, "14.11.2023 22:14 UTC") and info["u"] == (0, "—") and info["t"][0] == 5
     txs, ins, outs = normalize.normalize_single_tx(raw)
@@ -129,7 +129,7 @@ def test_authoritative_labels_stay(spark):
 
 
 @pytest.mark.parametrize("cursor,args,want", [
-    (None, {}, (91, 100)), (50, {}, (51, 60)), (100, {}, None), (95, {}, (96, 100)), (None, {"start": 3, "end": 4}, (3, 4)),
+    (None, {}, (0, 100)), (50, {}, (51, 100)), (None, {"max_blocks": 10}, (91, 100)), (50, {"max_blocks": 10}, (51, 60)), (100, {}, None), (95, {}, (96, 100)), (None, {"start": 3, "end": 4}, (3, 4)),
     (None, {"max_blocks": 500}, (0, 100)), (10, {"end": 12}, (11, 12)),
 ])
 def test_plan_range(spark, cursor, args, want):
