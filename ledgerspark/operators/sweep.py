@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.session import materialize
+from ledgerspark.session import discard, materialize
 
 WORDS = 8
 BITS = 64 * WORDS
@@ -46,37 +46,56 @@ def _united(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(*[F.bit_or(m).alias(m) for m in MASKS])
 
 
-def _without(df: DataFrame, seen: list[DataFrame], *keys: str) -> DataFrame:
-    """``df`` less the bits that one of ``seen`` has under the same keys; rows without bits go."""
-    if not seen:
-        return df
-    known = _united(reduce(DataFrame.unionByName, seen), *keys).select(*keys, *[F.col(m).alias(f"k{m}") for m in MASKS])
-    left = [F.col(m).bitwiseAND(F.bitwise_not(F.coalesce(f"k{m}", F.lit(0).cast("long")))).alias(m) for m in MASKS]
-    return df.join(known, list(keys), "left").select(*keys, *left).where(" OR ".join(f"{m} <> 0" for m in MASKS))
+_SEEN = [f"k{m}" for m in MASKS]
+
+
+def _fresh(reached: DataFrame, seen: DataFrame | None, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(the bits of ``reached`` that ``seen`` lacks, what has been seen by now); rows without new bits are no part of the first.
+
+    What has been seen is one running table, one row a key, so a level is compared with it once and not with every level before.
+    """
+    if seen is None:
+        level = materialize(reached, "reach")
+        return level, level.select(*keys, *[F.col(m).alias(k) for m, k in zip(MASKS, _SEEN, strict=True)])
+    zero = F.lit(0).cast("long")
+    new = lambda m, k: F.coalesce(m, zero).bitwiseAND(F.bitwise_not(F.coalesce(k, zero)))
+    both = reached.join(seen, list(keys), "full").select(
+        *keys, *[new(m, k).alias(m) for m, k in zip(MASKS, _SEEN, strict=True)],
+        *[F.coalesce(m, zero).bitwiseOR(F.coalesce(k, zero)).alias(k) for m, k in zip(MASKS, _SEEN, strict=True)])
+    now = materialize(both, "seen")
+    level = materialize(now.select(*keys, *MASKS).where(" OR ".join(f"{m} <> 0" for m in MASKS)), "reach")
+    kept = now.select(*keys, *_SEEN)
+    kept._written_to = now._written_to
+    return level, kept
 
 
 def sweep(seeds: DataFrame, spends: DataFrame, pays: DataFrame, max_hops: int, spent_from: bool = False) -> Sweep:
-    """Levels of all seeds over ``spends`` (address, txid) and ``pays`` (txid, address).
+    """Levels of all seeds over ``spends`` (address, txid) and ``pays`` (txid, address), which may repeat rows: bits are united.
 
     With ``spent_from`` also the transactions with a sender at hop 1 .. max_hops.
     """
     numbered = number_seeds(seeds)
     one = [F.expr(f"CASE WHEN bit DIV 64 = {i} THEN shiftleft(1L, bit % 64) ELSE 0L END").alias(m) for i, m in enumerate(MASKS)]
-    levels = [materialize(numbered.select("block", F.col("seed").alias("address"), *one), "reach")]
-    transactions: list[DataFrame] = []
-    spends, pays = spends.distinct(), pays.distinct()
+    level, seen = _fresh(numbered.select("block", F.col("seed").alias("address"), *one), None, "block", "address")
+    levels, transactions, spent = [level], [], None
     for hop in range(1, max_hops + 1 + spent_from):
         entered = _united(levels[-1].join(spends, "address"), "block", "txid")
-        if spent_from:
-            entered = materialize(entered if hop == 1 else _without(entered, transactions, "block", "txid"), "spent")
-            if hop > 1:
-                transactions.append(entered)
+        if spent_from and hop == 1:
+            entered = materialize(entered, "spent")  # spent from by the seed itself
+        elif spent_from:
+            old = spent
+            entered, spent = _fresh(entered, old, "block", "txid")
+            transactions.append(entered)
+            discard(old)
         if hop > max_hops:
             break
-        reached = _united(entered.join(pays, "txid"), "block", "address")
-        levels.append(materialize(_without(reached, levels, "block", "address"), "reach"))
-        if levels[-1].isEmpty():
+        old = seen
+        level, seen = _fresh(_united(entered.join(pays, "txid"), "block", "address"), old, "block", "address")
+        levels.append(level)
+        discard(old)
+        if level.isEmpty():
             break
+    discard(seen, spent)
     return Sweep(numbered, levels, transactions)
 
 

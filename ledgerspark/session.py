@@ -6,6 +6,7 @@ import itertools
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -67,4 +68,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._written_to = path
+    return kept
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete tables that :func:`materialize` or :func:`bucketed` wrote and that nothing reads any more; others stay."""
+    for df in frames:
+        path = getattr(df, "_written_to", None)
+        if path is not None:
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write ``df`` in buckets of ``key`` and read it back: joins on ``key`` move the other side only.
+
+    Column ``bucket`` has the bucket of a row as a folder, so a reader that names the buckets it wants opens no other file.
+    """
+    path = fresh_path(df.sparkSession, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    placed = df.withColumn("bucket", bucket_of(key, buckets)).repartition(buckets, key)
+    placed.write.partitionBy("bucket").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    kept = df.sparkSession.table(table)
+    kept._written_to = path
+    return kept
+
+
+def bucket_of(key: str, buckets: int):
+    """The bucket that Spark puts ``key`` in."""
+    return F.pmod(F.hash(key), F.lit(buckets))
