@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 
 import numpy as np
@@ -24,7 +25,7 @@ import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from ledgerspark.llm.common import Shelf, slices
 
@@ -35,70 +36,81 @@ STEP = 8
 DEPTH = 3
 GROUP = 50_000
 """Rests that one greedy task packs, about."""
-REMEMBERED = 600_000
-"""Words whose ids a task remembers."""
+SLICE = 2 << 20
+"""Bytes of text that are encoded at once; one longer text stays whole."""
+REMEMBERED = 48 << 20
+"""Bytes of words and their ids in either of the two tables that a task keeps, about."""
+ENTRY = 200
+"""Bytes that a remembered word takes besides its letters and ids, about."""
+
+# The tokenizer's own way to cut a text, for texts without white space, letters and numbers beyond these.
+_ODD = re.compile("[^\\t\\n\\r -~À-ÖØ-öø-ÿ‘’“”–—…]")
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
+_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_tokenizers: dict[str, tuple[Tokenizer, Tokenizer, np.ndarray]] = {}
+
+
+def _loaded(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray]:
+    """The tokenizer, one for plain words that are lower case and composed already, and which ids end a word."""
+    if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = whole.get_vocab()
+        ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        _tokenizers[path] = whole, plain, ends
+    return _tokenizers[path]
 
 
 class Encoder:
     """Ids of texts as little-endian 32-bit bytes, each different word encoded once.
 
-    The tokenizer splits at white space before anything else, so the ids of a text are those of its
-    words in a row. Words of letters alone, a comma or full stop aside, go to the tokenizer many at a
-    time and come back apart at the ids that end a word; all others go one by one.
+    The tokenizer cuts a text into words before anything else, so the ids of a text are those of its words in a row. Texts of Latin
+    letters, digits and usual marks are cut here, in lower case, and new words go to the tokenizer many at a time and come back apart at the ids
+    that end a word; other texts go to the tokenizer whole. Two tables of bounded size remember words: when the
+    younger is full it becomes the older, whose words return as they are met again. An encoder lives as long as a task.
     """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.whole, self.plain, self.ends = _loaded(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        known = self.known
-        plain, later = {}, []
+        known, older, new = self.known, self.older, []
         for word in words:
-            stem = word[:-1] if word[-1:] in (",", ".") else word
-            if stem.isalpha():
-                plain.setdefault(stem, None)
-                later.append((word, stem))
+            if word in older:
+                known[word] = older[word]
+            elif _LETTERS.fullmatch(word):
+                new.append(word)
             else:
-                known[word] = self.one(word) if word else b""
-        new = [w for w in plain if w not in known]
-        for i in range(0, len(new), 500):
-            some = new[i:i + 500]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+                known[word] = self.one(word)
+        chunks = [new[i:i + 500] for i in range(0, len(new), 500)]
+        for some, found in zip(chunks, self.plain.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(stops) == len(some):
-                data, last = ids.tobytes(), 0
-                for word, stop in zip(some, stops.tolist(), strict=True):
-                    known[word] = data[4 * last:4 * stop]
-                    last = stop
+                data = ids.tobytes()
+                known.update(zip(some, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
             else:
                 known.update((w, self.one(w)) for w in some)
-        if later:
-            marks = {m: self.one(m) for m in ",."}
-            for word, stem in later:
-                if word != stem:
-                    known[word] = known[stem] + marks[word[-1]]
-
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            self.learn({w for w in words if w not in known})
-            return b"".join(map(known.__getitem__, words))
-
-
-_encoders: dict[str, Encoder] = {}
+        self.held += sum(map(len, words)) + sum(len(known[w]) for w in words) + ENTRY * len(words)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        cut = [None if _ODD.search(t) else _CUT.findall(t.lower()) for t in texts]
+        if self.held > REMEMBERED:
+            self.older, self.known, self.held = self.known, {}, 0
+        self.learn(set().union(*filter(None, cut)).difference(self.known))
+        get = self.known.__getitem__
+        return [self.one(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]
+
 
 _PIECE = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(),
           "part": pa.int64(), "nth": pa.int64(), "kind": pa.int32()}
@@ -108,15 +120,14 @@ def _cutter(path: str):
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches):
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        encode, part = _encoders[path], TaskContext.get().partitionId()
+        encode, part = Encoder(path), TaskContext.get().partitionId()
         nth: dict[int, int] = {}
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=SLICE):
                 out = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    ids = encode(text or "") + end
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                    ids += end
                     n = len(ids) // 4
                     for start in range(0, n, WINDOW):
                         piece = ids[4 * start:4 * (start + WINDOW)]
