@@ -219,22 +219,25 @@ def deep_nodes(labels: np.ndarray) -> np.ndarray:
     return under
 
 
-def _subtrees(batches):
-    """Builds each group's tree and gives (id, _key, places) of the suffixes under its deep nodes."""
+_ANSWER = "bucket long, ids binary, keys binary, sizes binary, places binary"
+
+
+def _subtrees(buckets: int):
+    """Builds each group's tree and gives the suffixes under its deep nodes, one row for each bucket of documents."""
 
     def answer(ids, keys, document, place):
-        order = np.lexsort((place, document))
-        document, place = document[order], place[order].astype(np.uint32)
-        cut = np.flatnonzero(np.concatenate([[True], document[1:] != document[:-1]]))
-        ends = np.append(cut[1:], len(document))
-        out = [place[a:b].tobytes() for a, b in zip(cut.tolist(), ends.tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids[document[cut]]), pa.array(keys[document[cut]]), pa.array(out, pa.binary())],
-                                          names=["id", "_key", "places"])
+        bucket = keys[document].view(np.uint64) % np.uint64(buckets)
+        order = np.lexsort((place, document, bucket))
+        bucket, document, place = bucket[order].astype(np.int64), document[order], place[order]
+        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+        out = [_packed(int(bucket[a]), ids, keys, document[a:b], place[a:b])[:5]
+               for a, b in zip(cut, [*cut[1:], len(bucket)], strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] + [pa.binary()] * 4, strict=True)],
+            names=[c.split()[0] for c in _ANSWER.split(", ")])
 
     def grown(rows):
-        ids, keys, sizes = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((0, np.int64), (1, np.int64), (2, np.uint32)))
-        document = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.concatenate([_places(r[3]) for r in rows])
+        ids, keys, document, place = _unpacked(rows)
         if rows[0][4] is None:
             return answer(ids, keys, document, place)
         labels = np.concatenate([np.frombuffer(r[4], np.uint32).reshape(len(LEVELS), -1) for r in rows], axis=1)
@@ -243,18 +246,52 @@ def _subtrees(batches):
         hit = np.flatnonzero(deep_nodes(labels) & (known == 0))
         return answer(ids, keys, document[hit], place[hit]) if len(hit) else None
 
+    def build(batches):
+        held, now = [], None
+        for batch in batches:
+            for group, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and (group != now or group < 0):
+                    if (found := grown(held)) is not None:
+                        yield found
+                    held = []
+                now = group
+                held.append(row)
+        if held and (found := grown(held)) is not None:
+            yield found
+
+    return build
+
+
+def _unpacked(rows: list[list]) -> tuple[np.ndarray, ...]:
+    """(ids, keys, document, place) of packed rows end to end."""
+    ids, keys, sizes = (np.concatenate([np.frombuffer(r[i], t) for r in rows]) for i, t in ((0, np.int64), (1, np.int64), (2, np.uint32)))
+    return ids, keys, np.repeat(np.arange(len(sizes)), sizes), np.concatenate([_places(r[3]) for r in rows])
+
+
+def _by_document(batches):
+    """(id, _key, places) of each document of a bucket, from the bucket's rows of all groups."""
+
+    def told(rows):
+        ids, keys, document, place = _unpacked(rows)
+        same = np.unique(np.stack([ids, keys]), axis=1, return_inverse=True)
+        (ids, keys), document = same[0], same[1].ravel()[document]
+        order = np.lexsort((place, document))
+        document, place = document[order], place[order].astype(np.uint32)
+        cut = np.flatnonzero(np.concatenate([[True], document[1:] != document[:-1]])).tolist()
+        out = [place[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(document)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[document[cut]]), pa.array(keys[document[cut]]), pa.array(out, pa.binary())],
+                                          names=["id", "_key", "places"])
+
     held, now = [], None
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(7)]
-        for group, *row in zip(*columns, strict=True):
-            if held and (group != now or group < 0):
-                if (found := grown(held)) is not None:
-                    yield found
+        for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and bucket != now:
+                yield told(held)
                 held = []
-            now = group
+            now = bucket
             held.append(row)
-    if held and (found := grown(held)) is not None:
-        yield found
+    if held:
+        yield told(held)
 
 
 def _kept(batches):
@@ -267,7 +304,7 @@ def _kept(batches):
                 words = (text or b"").split()
                 spans = []
                 if places:
-                    at = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in places])).astype(np.int64)
+                    at = np.frombuffer(places, np.uint32).astype(np.int64)
                     cut = np.flatnonzero(np.concatenate([[True], at[1:] > at[:-1] + LENGTH]))
                     spans = list(zip(at[cut].tolist(), (at[np.append(cut[1:], len(at)) - 1] + LENGTH).tolist(), strict=True))
                 kept, last = [], 0
@@ -285,17 +322,19 @@ def _kept(batches):
 
 
 def repeated_windows(rows: DataFrame, shelf: Shelf) -> DataFrame:
-    """(id, _key, places): first words of windows that also start elsewhere, as 32-bit numbers; several rows a document."""
+    """(id, _key, places): first words of windows that also start elsewhere, as 32-bit numbers in order."""
     found = shelf.put(rows.mapInArrow(_anchored, "anchor long, id long, _key long, low int, high int"), "anchors")
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # Written, so that both sides of the join are plain shuffles, whose skewed parts Spark can split.
+    often = shelf.put(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("often")).where("often > 1"), "often")
     ranges = shelf.put(found.join(often, "anchor").select("id", "_key", "low", "high", "often"), "ranges")
-    shelf.drop(found)
+    shelf.drop(found, often)
     total = ranges.agg(F.sum(F.col("high") - F.col("low"))).first()[0] or 0
     groups = max(1, -(-total // GROUP))
     wanted = ranges.groupBy("id", "_key").agg(F.collect_list(F.struct("low", "high", "often")).alias("found"))
     suffixes = rows.join(wanted, ["id", "_key"]).mapInArrow(_suffixes(groups), _GROUPED)
-    return shelf.put(suffixes.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(
-        _subtrees, "id long, _key long, places binary"), "windows")
+    answers = suffixes.repartition(groups, "grp").sortWithinPartitions("grp").mapInArrow(_subtrees(groups), _ANSWER)
+    return shelf.put(answers.repartition(groups, "bucket").sortWithinPartitions("bucket").mapInArrow(
+        _by_document, "id long, _key long, places binary"), "windows")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -303,6 +342,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shelf = Shelf(docs.sparkSession)
     rows = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).select(
         F.coalesce("doc_id", F.lit(NOBODY)).alias("id"), "_key", "text", "doc_id")
-    places = repeated_windows(rows.drop("doc_id"), shelf).groupBy("id", "_key").agg(F.collect_list("places").alias("places"))
+    places = repeated_windows(rows.drop("doc_id"), shelf)
     return rows.join(places, ["id", "_key"], "left").select("doc_id", "text", "places").mapInArrow(
         _kept, "doc_id long, n_words long, n_removed long, spans array<struct<low:long,high:long>>, kept string")
