@@ -155,7 +155,7 @@ def _block(texts: DataFrame, wanted: DataFrame, top: int, shelf: Shelf) -> DataF
         F.col("nth") <= top).select("item_id", "score", "h", "m", "terms", "counts"), "classes")
     # The first members of each chosen class, then the first documents of each item.
     bag = ["h", "m", "terms", "counts"]
-    own = members.join(chosen.select(*bag).distinct(), bag, "left_semi")
+    own = members.join(chosen.select("h").distinct(), "h", "left_semi")  # trimmed to ``top`` rows a class before they move
     some = own.withColumn("nth", F.row_number().over(Window.partitionBy(*bag).orderBy("doc_id"))).where(F.col("nth") <= top)
     ranked = chosen.join(some.drop("nth"), bag).withColumn("rank", F.row_number().over(
         Window.partitionBy("item_id").orderBy(F.col("score").desc(), "doc_id")))
