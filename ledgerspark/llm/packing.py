@@ -47,11 +47,11 @@ ENTRY = 200
 _ODD = re.compile("[^\\t\\n\\r -~À-ÖØ-öø-ÿ‘’“”–—…]")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
 _LETTERS = re.compile("[a-zß-öø-ÿ]+")
-_tokenizers: dict[str, tuple[Tokenizer, Tokenizer, np.ndarray]] = {}
+_tokenizers: dict[str, tuple[Tokenizer, Tokenizer, np.ndarray, list[str]]] = {}
 
 
-def _loaded(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray]:
-    """The tokenizer, one for plain words that are lower case and composed already, and which ids end a word."""
+def _loaded(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray, list[str]]:
+    """The tokenizer, one for plain words that are lower case and composed already, which ids end a word, and its own marks."""
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -61,7 +61,7 @@ def _loaded(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray]:
         vocabulary = whole.get_vocab()
         ends = np.zeros(max(vocabulary.values()) + 1, bool)
         ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        _tokenizers[path] = whole, plain, ends
+        _tokenizers[path] = whole, plain, ends, [t.content.lower() for t in whole.get_added_tokens_decoder().values()]
     return _tokenizers[path]
 
 
@@ -70,12 +70,12 @@ class Encoder:
 
     The tokenizer cuts a text into words before anything else, so the ids of a text are those of its words in a row. Texts of Latin
     letters, digits and usual marks are cut here, in lower case, and new words go to the tokenizer many at a time and come back apart at the ids
-    that end a word; other texts go to the tokenizer whole. Two tables of bounded size remember words: when the
+    that end a word; other texts, and those that spell a token of the tokenizer's own like an end mark, go to the tokenizer whole. Two tables of bounded size remember words: when the
     younger is full it becomes the older, whose words return as they are met again. An encoder lives as long as a task.
     """
 
     def __init__(self, path: str) -> None:
-        self.whole, self.plain, self.ends = _loaded(path)
+        self.whole, self.plain, self.ends, self.added = _loaded(path)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
@@ -104,7 +104,8 @@ class Encoder:
         self.held += sum(map(len, words)) + sum(len(known[w]) for w in words) + ENTRY * len(words)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [None if _ODD.search(t) else _CUT.findall(t.lower()) for t in texts]
+        cut = [None if _ODD.search(t) or any(map(low.__contains__, self.added)) else _CUT.findall(low)
+               for t, low in ((t, t.lower()) for t in texts)]
         if self.held > REMEMBERED:
             self.older, self.known, self.held = self.known, {}, 0
         self.learn(set().union(*filter(None, cut)).difference(self.known))
