@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,14 @@ class Shelf:
                 where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the machine: Python workers live on, and others need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # elsewhere than with glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def apart(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` with columns other than ``doc_id`` and ``text`` under names that clash with none in use, and the true names."""
     return docs.toDF(*[n if n in ("doc_id", "text") else f"other{i}" for i, n in enumerate(docs.columns)]), docs.columns

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from ledgerspark.llm.common import Shelf, slices
+from ledgerspark.llm.common import Shelf, release, slices
 
 WINDOW = 4096
 END_ID = 2
@@ -38,7 +38,7 @@ GROUP = 50_000
 """Rests that one greedy task packs, about."""
 SLICE = 2 << 20
 """Bytes of text that are encoded at once; one longer text stays whole."""
-REMEMBERED = 48 << 20
+REMEMBERED = 40 << 20
 """Bytes of words and their ids in either of the two tables that a task keeps, about."""
 ENTRY = 200
 """Bytes that a remembered word takes besides its letters and ids, about."""
@@ -46,23 +46,20 @@ ENTRY = 200
 # The tokenizer's own way to cut a text, for texts without white space, letters and numbers beyond these.
 _ODD = re.compile("[^\\t\\n\\r -~À-ÖØ-öø-ÿ‘’“”–—…]")
 _CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+")
-_LETTERS = re.compile("[a-zß-öø-ÿ]+")
-_tokenizers: dict[str, tuple[Tokenizer, Tokenizer, np.ndarray, list[str]]] = {}
+_tokenizers: dict[tuple[str, bool], Tokenizer] = {}
 
 
-def _loaded(path: str) -> tuple[Tokenizer, Tokenizer, np.ndarray, list[str]]:
-    """The tokenizer, one for plain words that are lower case and composed already, which ids end a word, and its own marks."""
-    if path not in _tokenizers:
+def _loaded(path: str, plain: bool) -> Tokenizer:
+    """The tokenizer, or one for words that are cut, in lower case and composed already."""
+    if (path, plain) not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        whole, plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        plain.normalizer = normalizers.Sequence([])
-        plain.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        vocabulary = whole.get_vocab()
-        ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        _tokenizers[path] = whole, plain, ends, [t.content.lower() for t in whole.get_added_tokens_decoder().values()]
-    return _tokenizers[path]
+        tokenizer = Tokenizer.from_file(path)
+        if plain:
+            tokenizer.normalizer = normalizers.Sequence([])
+            tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        _tokenizers[path, plain] = tokenizer
+    return _tokenizers[path, plain]
 
 
 class Encoder:
@@ -75,23 +72,25 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        self.whole, self.plain, self.ends, self.added = _loaded(path)
+        self.path, self.plain = path, _loaded(path, True)
+        vocabulary = self.plain.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.added = [t.content.lower() for t in self.plain.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
 
     def one(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(_loaded(self.path, False).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
         known, older, new = self.known, self.older, []
         for word in words:
             if word in older:
                 known[word] = older[word]
-            elif _LETTERS.fullmatch(word):
-                new.append(word)
             else:
-                known[word] = self.one(word)
+                new.append(word)
         chunks = [new[i:i + 500] for i in range(0, len(new), 500)]
         for some, found in zip(chunks, self.plain.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
@@ -139,6 +138,8 @@ def _cutter(path: str):
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PIECE.values(), strict=True)], names=list(_PIECE))
+        del encode
+        release()
 
     return cut
 
@@ -202,6 +203,7 @@ def _dealer(rows: np.ndarray, counts: np.ndarray):
                     sequence[i], slot[i] = at + r - before, s
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(sequence), pa.array(slot)], names=[*batch.schema.names, "sequence", "slot"])
+        release()
 
     return deal
 
