@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.labels import compliance_contact, short_address, source_note
 from ledgerspark.functions.money import btc_text, sats_to_btc
-from ledgerspark.operators.trace import Trace
+from ledgerspark.functions.rank import running_min
+from ledgerspark.operators.trace import HOPS_SLICE, Trace
+from ledgerspark.session import discard, materialize
 
 DEFAULT_SOURCE = "walletexplorer"
 ENDPOINT_CONFIDENCE = "L2"
 EXPLORER_URL = "https://blockstream.info/tx/"
 DIGEST_SLICE = 1024
 
+# Our own sentence, with the amount and the number of addresses between its parts.
+FREEZE_TEXTS = ("", " BTC reached this exchange at ", " address(es) of the case.")
+
 # Node kinds by priority, lowest first.
 KINDS = ["address", "recipient", "victim", "exchange"]
 
@@ -67,8 +72,8 @@ def freeze_groups(endpoints: DataFrame) -> DataFrame:
         F.min_by("address", order).alias("first_address"), F.min_by("compliance_email", order).alias("compliance_email"),
         F.min_by("source", order).alias("source"))
     note = F.concat(
-        F.col("address_count").cast("string"), F.lit(" deposit address(es) attributed to this exchange. Total amount: "),
-        btc_text(sats_to_btc(F.col("total_sats"))), F.lit(" BTC."))
+        F.lit(FREEZE_TEXTS[0]), btc_text(sats_to_btc(F.col("total_sats"))), F.lit(FREEZE_TEXTS[1]), F.col("address_count").cast("string"),
+        F.lit(FREEZE_TEXTS[2]))
     return grouped.withColumn("note", note).withColumn("confidence", F.lit(ENDPOINT_CONFIDENCE))
 
 
@@ -76,41 +81,44 @@ def freeze_groups(endpoints: DataFrame) -> DataFrame:
 
 
 def hop_columns(trace: Trace, victims: DataFrame) -> DataFrame:
-    """Column of the senders of every hop.
+    """Column of the senders of every hop, as (case_id, hop, from_column).
 
-    A hop starts where its sender was first placed, and a sender's place depends on the hops
-    before, so the hops of a case (a handful) are folded in order inside one expression.
+    A victim sends from column 0. Any other sender stands one column after the least of the hops before that paid it, or where it
+    stood when it sent before, whatever is less; a sender that no hop before knows stands at its hop's number. That is a least sum over
+    hops, found level by level: a round takes the hops whose column fell, offers it to the later hops of the addresses that they
+    pay or send from, and keeps what is less. The rounds end when nothing falls, after as many as the longest chain has hops.
     """
-    sender = side(trace.legs, "from").where(F.col("hop") > 0).select("case_id", "hop", "address")
-    paid = side(trace.legs, "to").select("case_id", "address", F.col("hop").alias("at")).distinct()
-    owners = victims.select("case_id", "address").distinct().withColumn("is_victim", F.lit(True))
-    earlier = sender.join(paid, ["case_id", "address"]).where(F.col("at") < F.col("hop")).groupBy("case_id", "hop").agg(
-        F.collect_set("at").alias("paid_at"))
-    sent = sender.select("case_id", "address", F.col("hop").alias("at"))
-    again = sender.join(sent, ["case_id", "address"]).where(F.col("at") < F.col("hop")).groupBy("case_id", "hop").agg(
-        F.collect_set("at").alias("sent_at"))
-    nothing = F.array().cast("array<int>")
-    rows = (
-        sender.join(owners, ["case_id", "address"], "left").join(earlier, ["case_id", "hop"], "left")
-        .join(again, ["case_id", "hop"], "left")
-        .select("case_id", "hop", F.coalesce("paid_at", nothing).alias("paid_at"),
-                F.coalesce("sent_at", nothing).alias("sent_at"), F.coalesce("is_victim", F.lit(False)).alias("is_victim"))
-    )
-    ordered = rows.groupBy("case_id").agg(F.array_sort(F.collect_list(
-        F.struct("hop", "paid_at", "sent_at", "is_victim"))).alias("hops"))
-
-    def place(done: Column, hop: Column) -> Column:
-        column_of = lambda at: F.when(at == 0, F.lit(0)).otherwise(F.get(done, at - 1))
-        known = F.concat(
-            F.array(F.when(hop["is_victim"], F.lit(0))),
-            F.transform(hop["paid_at"], lambda at: column_of(at) + 1), F.transform(hop["sent_at"], column_of))
-        return F.array_append(done, F.coalesce(F.array_min(known), hop["hop"]))
-
-    placed = ordered.withColumn("columns", F.aggregate("hops", nothing, place))
-    later = placed.select("case_id", F.posexplode("columns").alias("pos", "from_column")).select(
-        "case_id", (F.col("pos") + 1).alias("hop"), "from_column")
-    start = trace.hops.where(F.col("hop") == 0).select("case_id", "hop", F.lit(0).alias("from_column"))
-    return start.unionByName(later)
+    key = ["case_id", "address"]
+    slice_ = F.floor(F.col("hop") / HOPS_SLICE)
+    owners = victims.select(*key).distinct().withColumn("is_victim", F.lit(True))
+    sender = materialize(side(trace.legs, "from").where(F.col("hop") > 0).select("case_id", "hop", "address").distinct().join(
+        owners, key, "left").withColumn("is_victim", F.coalesce("is_victim", F.lit(False))), "senders")
+    paid = materialize(side(trace.legs, "to").select("case_id", "address", "hop").distinct(), "paid")
+    first = paid.unionByName(sender.select("case_id", "address", "hop")).groupBy(*key).agg(F.min("hop").alias("first"))
+    start = sender.join(first, key, "left").groupBy("case_id", "hop").agg(F.min(
+        F.when(F.col("is_victim"), F.lit(0)).when(F.col("first") >= F.col("hop"), F.col("hop"))).alias("from_column"))
+    zero = trace.hops.where(F.col("hop") == 0).select("case_id", "hop", F.lit(0).alias("from_column"))
+    state = materialize(start.unionByName(zero), "columns")
+    changed = state.where("from_column IS NOT NULL")
+    while True:
+        offers = changed.join(paid, ["case_id", "hop"]).select(*key, "hop", (F.col("from_column") + 1).alias("offer")).unionByName(
+            changed.join(sender, ["case_id", "hop"]).select(*key, "hop", F.col("from_column").alias("offer")))
+        offers = materialize(offers.groupBy(*key, "hop").agg(F.min("offer").alias("offer")), "offers")
+        takers = sender.join(offers.select(*key).distinct(), key, "left_semi").select(*key, "hop")
+        # An offer holds for later hops, so at the same hop the taker comes first.
+        events = takers.withColumns({"offer": F.lit(None).cast("int"), "turn": F.lit(0)}).unionByName(offers.withColumn("turn", F.lit(1)))
+        best = running_min(events.withColumn("slice", slice_), key, "slice", ["hop", "turn"], "offer", "best").where(
+            "turn = 0 AND best IS NOT NULL").groupBy("case_id", "hop").agg(F.min("best").alias("best"))
+        falls = F.col("best").isNotNull() & (F.col("from_column").isNull() | (F.col("best") < F.col("from_column")))
+        after = materialize(state.join(best, ["case_id", "hop"], "left").select(
+            "case_id", "hop", F.when(falls, F.col("best")).otherwise(F.col("from_column")).alias("from_column"), falls.alias("falls")), "columns")
+        discard(offers, state)
+        changed = after.where("falls").drop("falls")
+        state = after.drop("falls")
+        state._written_to = after._written_to
+        if changed.isEmpty():
+            break
+    return state
 
 
 def _appearances(trace: Trace, cases: DataFrame, victims: DataFrame, columns: DataFrame) -> DataFrame:
@@ -264,60 +272,75 @@ def _producers(trace: Trace) -> DataFrame:
         "case_id", "address", F.col("p.hop").alias("hop"), F.col("p.sats").alias("sats"))
 
 
-def _hop_links(trace: Trace, victims: DataFrame) -> DataFrame:
-    """Per case its hops (a handful) with their sender and the hop that paid that sender."""
+def _links(trace: Trace, victims: DataFrame) -> DataFrame:
+    """Per hop its first sender, how many senders and victims it has, and the hop that paid that sender, if any."""
     owners = victims.select("case_id", "address").distinct().withColumn("is_victim", F.lit(True))
     one = side(trace.legs, "from").join(owners, ["case_id", "address"], "left").groupBy("case_id", "hop").agg(
         F.count(F.lit(1)).alias("senders"), F.count_if("is_victim").alias("victims"),
         F.min(F.struct("ord", "address", F.coalesce("sats", F.lit(0)).alias("sats"))).alias("s"))
-    back = _producers(trace).select("case_id", F.col("address").alias("sender"), F.col("hop").alias("prev_hop"),
-                                    F.col("sats").alias("prev_sats"))
-    rows = one.select("case_id", "hop", "senders", "victims", F.col("s.address").alias("sender"),
-                      F.col("s.sats").alias("sender_sats")).join(back, ["case_id", "sender"], "left")
-    return rows.groupBy("case_id").agg(F.collect_list(F.struct(
-        "hop", "senders", "victims", "sender", "sender_sats", "prev_hop", "prev_sats")).alias("links"))
-
+    return one.select("case_id", "hop", "senders", "victims", F.col("s.address").alias("sender"), F.col("s.sats").alias("sender_sats"))
 
-def _walk_back(endpoints: DataFrame, trace: Trace, victims: DataFrame) -> DataFrame:
-    """Per endpoint the hops that lead to it, last first: ``chain`` of (hop, address, sats), and the hop links."""
-    begun = endpoints.select("case_id", "name", "address").join(_producers(trace), ["case_id", "address"]).join(
-        _hop_links(trace, victims), "case_id")
-    step_type = "array<struct<hop: int, address: string, sats: bigint>>"
-    first = F.array(F.struct(F.col("hop").cast("int").alias("hop"), "address", "sats")).cast(step_type)
 
-    def back(chain: Column, _turn: Column) -> Column:
-        last = F.element_at(chain, -1)
-        link = F.get(F.filter("links", lambda x: x["hop"] == last["hop"]), F.lit(0))
-        goes_on = (link["senders"] == 1) & link["prev_hop"].isNotNull() & ~F.exists(
-            chain, lambda x: x["address"] == link["sender"])
-        step = F.struct(link["prev_hop"].cast("int").alias("hop"), link["sender"].alias("address"), link["prev_sats"].alias("sats"))
-        return F.when(goes_on, F.concat(chain, F.array(step).cast(step_type))).otherwise(chain)
+def _walk_back(endpoints: DataFrame, trace: Trace, victims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(steps, links): per endpoint the hops that lead to it, ``pos`` counted from 0 at the endpoint, and the hop's links.
 
-    return begun.withColumn("chain", F.aggregate(F.sequence(F.lit(1), F.size("links")), first, back)).select(
-        "case_id", F.col("address").alias("endpoint"), "name", "chain", "links")
+    Each address of a case leads back to the only sender of the last hop that paid it, if a hop paid that one too. List ranking by
+    pointer doubling: jumps of 1, 2, 4, ... steps are squared until none is left, then every endpoint takes the jumps from
+    the longest down, each beside the places it already has, so each place is reached once. An endpoint whose way runs in a circle
+    stops before the first address that it meets again; no way has more steps than its case has addresses.
+    """
+    links = materialize(_links(trace, victims), "links")
+    producers = materialize(_producers(trace), "producers")
+    lone = links.where("senders = 1").select("case_id", "hop", F.col("sender").alias("next"))
+    jump = materialize(
+        producers.select("case_id", "address", "hop").join(lone, ["case_id", "hop"]).join(
+            producers.select("case_id", F.col("address").alias("next")), ["case_id", "next"], "left_semi")
+        .where("address <> next").select("case_id", "address", "next"), "jump")
+    size = producers.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    most = size.agg(F.max("n")).first()[0] or 0
+    jumps, length = [], 1
+    while length < most and not jump.isEmpty():
+        jumps.append(jump)
+        jump = materialize(jump.join(
+            jump.select("case_id", F.col("address").alias("next"), F.col("next").alias("beyond")), ["case_id", "next"]).select(
+            "case_id", "address", F.col("beyond").alias("next")), "jump")
+        length *= 2
+    discard(jump)
+    places = endpoints.select("case_id", "name", F.col("address").alias("endpoint"), "address", F.lit(0).alias("pos")).join(
+        producers.select("case_id", "address"), ["case_id", "address"], "left_semi").join(size, "case_id")
+    places = materialize(places, "places")
+    for k in range(len(jumps) - 1, -1, -1):
+        further = places.join(jumps[k], ["case_id", "address"]).withColumn("pos", F.col("pos") + F.lit(1 << k)).where("pos < n").select(
+            "case_id", "name", "endpoint", F.col("next").alias("address"), "pos", "n")
+        grown = materialize(places.unionByName(further), "places")
+        discard(places)
+        places = grown
+    discard(*jumps)
+    # In a circle an address comes again; the way ends where the first one does.
+    once = places.groupBy("case_id", "name", "endpoint", "address").agg(F.min("pos").alias("pos"))
+    length_of = once.groupBy("case_id", "endpoint").agg(F.count(F.lit(1)).cast("int").alias("length"))
+    steps = once.join(length_of, ["case_id", "endpoint"]).where("pos < length").join(producers, ["case_id", "address"])
+    return materialize(steps.select("case_id", "endpoint", "name", "pos", "length", "hop", "address", "sats"), "ways"), links
 
 
 def freeze_paths(endpoints: DataFrame, trace: Trace, cases: DataFrame, victims: DataFrame) -> DataFrame:
     """Nodes from the origin to each endpoint, numbered from 1."""
-    walked = _walk_back(endpoints, trace, victims).join(cases.select("case_id", "recipient"), "case_id")
-    last = F.element_at("chain", -1)
-    link = F.get(F.filter("links", lambda x: x["hop"] == last["hop"]), F.lit(0))
-    node_type = "array<struct<role: string, address: string, sats: bigint, members: bigint>>"
-    node = lambda role, address, sats, n: F.array(F.struct(
-        F.lit(role).alias("role"), address.alias("address"), sats.alias("sats"), n.alias("members"))).cast(node_type)
-    one, none = F.lit(1).cast("bigint"), F.lit(None).cast("string")
-    is_new = ~F.exists("chain", lambda x: x["address"] == link["sender"])
-    tail = (
-        F.when((link["senders"] > 1) & (link["victims"] > 0), node("inputs", none, last["sats"], link["victims"]))
-        .when((link["senders"] == 1) & is_new, node("node", link["sender"], link["sender_sats"], one))
-        .otherwise(F.array().cast(node_type))
-    )
-    nodes = F.concat(F.transform("chain", lambda x: F.struct(
-        F.lit("node").alias("role"), x["address"].alias("address"), x["sats"].alias("sats"), one.alias("members"))).cast(node_type), tail)
-    rows = walked.select("case_id", "endpoint", "name", "recipient", F.posexplode(F.reverse(nodes)).alias("pos", "n"))
+    steps, links = _walk_back(endpoints, trace, victims)
+    # Before the first step: the victims together, or a sender that no hop paid.
+    origin = steps.where(F.col("pos") == F.col("length") - 1).join(links, ["case_id", "hop"])
+    met = steps.select("case_id", "endpoint", F.col("address").alias("sender"), F.lit(True).alias("is_met"))
+    origin = origin.join(met, ["case_id", "endpoint", "sender"], "left")
+    inputs = (F.col("senders") > 1) & (F.col("victims") > 0)
+    head = origin.where(inputs | ((F.col("senders") == 1) & F.col("is_met").isNull())).select(
+        "case_id", "endpoint", F.when(inputs, "inputs").otherwise("node").alias("role"), F.when(~inputs, F.col("sender")).alias("node"),
+        F.when(inputs, F.col("sats")).otherwise(F.col("sender_sats")).alias("sats"),
+        F.when(inputs, F.col("victims")).otherwise(F.lit(1)).alias("members"), "name", F.lit(1).alias("position"))
+    begun = head.select("case_id", "endpoint", F.lit(1).alias("extra"))
+    rest = steps.join(begun, ["case_id", "endpoint"], "left").select(
+        "case_id", "endpoint", F.lit("node").alias("role"), F.col("address").alias("node"), "sats", F.lit(1).cast("bigint").alias("members"), "name",
+        (F.col("length") - F.col("pos") + F.coalesce("extra", F.lit(0))).alias("position"))
     owners = victims.select("case_id", F.col("address").alias("node"), F.lit(True).alias("is_victim")).distinct()
-    flat = rows.select("case_id", "endpoint", "name", "recipient", (F.col("pos") + 1).alias("position"), "n.role",
-                       F.col("n.address").alias("node"), "n.sats", "n.members").join(owners, ["case_id", "node"], "left")
+    flat = head.unionByName(rest).join(cases.select("case_id", "recipient"), "case_id").join(owners, ["case_id", "node"], "left")
     kind = (
         F.when(F.col("role") == "inputs", "victim").when(F.col("node") == F.col("endpoint"), "exchange")
         .when(F.col("node") == F.col("recipient"), "recipient").when(F.col("is_victim"), "victim").otherwise("address")
@@ -338,14 +361,12 @@ def branch_traces(endpoints: DataFrame, trace: Trace, victims: DataFrame) -> Dat
     The senders of a step are the ``from`` legs of its hop, only victims where
     ``victim_senders`` is set.
     """
-    walked = _walk_back(endpoints, trace, victims)
-    steps = walked.select("case_id", "endpoint", F.posexplode(F.reverse("chain")).alias("pos", "s"), "links")
-    link = F.get(F.filter("links", lambda x: x["hop"] == F.col("s.hop")), F.lit(0))
+    steps, links = _walk_back(endpoints, trace, victims)
     details = trace.hops.select("case_id", "hop", "label", "txid", "block", "timestamp")
-    return steps.select(
-        "case_id", "endpoint", (F.col("pos") + 1).alias("step"), "s.hop", F.col("s.address").alias("to_address"),
-        F.col("s.sats").alias("to_sats"), F.coalesce(link["senders"], F.lit(0)).alias("senders"),
-        F.coalesce((link["senders"] > 1) & (link["victims"] > 0), F.lit(False)).alias("victim_senders"),
+    return steps.join(links.select("case_id", "hop", "senders", "victims"), ["case_id", "hop"], "left").select(
+        "case_id", "endpoint", (F.col("length") - F.col("pos")).alias("step"), "hop", F.col("address").alias("to_address"),
+        F.col("sats").alias("to_sats"), F.coalesce("senders", F.lit(0)).alias("senders"),
+        F.coalesce((F.col("senders") > 1) & (F.col("victims") > 0), F.lit(False)).alias("victim_senders"),
     ).join(details, ["case_id", "hop"])
 
 

@@ -15,14 +15,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.functions.money import btc_text, sats_to_btc
-from ledgerspark.functions.rank import top_per
+from ledgerspark.functions.rank import ranked, running, top_per
 from ledgerspark.operators.ledger import Ledger
-from ledgerspark.session import materialize
+from ledgerspark.session import bucket_of, bucketed, discard, materialize
 
 # Thresholds of the trace. A trace is not bounded unless a caller gives ``max_hops`` or ``max_branches``.
 DUST_SATS = 546
 POOLING_FACTOR = 3
 FOLD = 16
+BUCKET_ROWS = 500_000
+"""Outputs of one bucket of the spend table, about."""
+LEAST_BUCKETS = 16
+HOPS_SLICE = 256
+"""Hops of a case whose outputs one window orders."""
+
+# Our own sentences, with the amounts and names between their parts.
+POOLED_TEXTS = (
+    "Of a payment of ", " BTC nothing can be told apart after this transaction: its largest output has ",
+    " BTC and mixes in money of others, as exchanges do inside and as mixers do. The trace of this branch stops here.")
+FOUND_TEXTS = ("This transaction pays ", ", known from ")
+UNSPENT_TEXTS = (" Not spent when this was analysed: the output at ", "... may still be frozen.")
+ZERO_TEXTS = (" victim address(es) lost ", " BTC here.")
+DIRECT_TEXT = " Paid to exchanges by the same transaction: "
+DEPOSIT_TEXTS = (" The recipient itself belongs to ", "; later transactions are listed for context and do not weaken that finding.")
 
 CONFIDENCE_LABELS = {"L1": "Mathematically proven", "L2": "Forensically corroborated"}
 
@@ -135,69 +150,84 @@ def forward_spend_scan(
 # -- the trace -----------------------------------------------------------------------------
 
 
-def _first_queue(cases: DataFrame, ledger: Ledger) -> DataFrame:
-    """The recipient's first output of each reported transaction."""
-    outputs = ledger.outputs.select(
-        F.col("txid").alias("fraud_txid"), F.col("address").alias("recipient"),
-        F.struct("vout_index", "amount_sats", "spent_by_txid").alias("o"))
-    first = cases.select("case_id", "fraud_txid", "recipient").join(outputs, ["fraud_txid", "recipient"]).groupBy(
-        "case_id", "fraud_txid", "recipient").agg(F.min("o").alias("o"))
-    return first.select(
-        "case_id", F.lit(1).alias("ord"), F.lit(0).alias("used"), F.col("fraud_txid").alias("txid"),
-        F.col("recipient").alias("address"), F.col("o.vout_index").alias("vout_index"),
-        F.col("o.amount_sats").alias("sats"), F.col("o.spent_by_txid").alias("flag"))
+@dataclass(frozen=True)
+class Spends:
+    """Every output with its lowest spend, in buckets of its transaction: what one level of a trace reads."""
 
+    table: DataFrame
+    buckets: int
 
-def _process(queue: DataFrame, visited: DataFrame | None, ledger: Ledger, depth: int, max_hops: int | None) -> DataFrame:
-    """Decide each queued output in order: its state, whether it makes a hop, and which number the hop has.
+    def of(self, frontier: DataFrame) -> DataFrame:
+        """The outputs of the transactions of ``frontier`` (txid, ..., a written table).
 
-    Windows over a case hold its outputs of one depth.
-    """
-    lowest = F.min(F.struct(F.coalesce("spend_height", F.lit(2**62)).alias("h"), "spender", "spend_height", "spend_seen",
-                            "is_loaded"))
-    spent = spenders_of(queue.select("case_id", "ord", "txid", "vout_index"), ledger.inputs, ledger.transactions) \
-        .groupBy("case_id", "ord").agg(lowest.alias("s"))
-    state = (
-        F.when(F.col("s").isNotNull(), "spent").when(F.col("flag").isNotNull(), "spent_unresolved").otherwise("unspent")
-    )
-    items = queue.join(spent, ["case_id", "ord"], "left").select(
-        *queue.columns, state.alias("state"), "s.spender", "s.spend_height", "s.spend_seen",
-        F.coalesce("s.is_loaded", F.lit(False)).alias("is_loaded"))
+        Only the buckets that the frontier names are read, and they stay where they are: the frontier moves to them.
+        """
+        named = frontier.select(bucket_of("txid", self.buckets).alias("b")).where("b IS NOT NULL").distinct()
+        wanted = [r.b for r in named.collect()]  # at most ``buckets`` numbers
+        return frontier.join(self.table.where(F.col("bucket").isin(wanted)).drop("bucket"), "txid")
+
+
+def spend_table(ledger: Ledger) -> Spends:
+    """Written once for all levels of all traces over ``ledger``."""
+    lowest = F.min(F.struct(F.coalesce("spend_height", F.lit(2**62)).alias("h"), "spender", "spend_height", "spend_seen", "is_loaded"))
+    outputs = ledger.outputs.select("txid", "vout_index", "address", F.col("amount_sats").alias("sats"), F.col("spent_by_txid").alias("flag"))
+    spent = spenders_of(outputs.select("txid", "vout_index"), ledger.inputs, ledger.transactions).groupBy("txid", "vout_index").agg(
+        lowest.alias("s"))
+    rows = outputs.join(spent, ["txid", "vout_index"], "left").select(
+        *outputs.columns, "s.spender", "s.spend_height", "s.spend_seen", F.coalesce("s.is_loaded", F.lit(False)).alias("is_loaded"))
+    buckets = max(LEAST_BUCKETS, -(-ledger.outputs.count() // BUCKET_ROWS))
+    return Spends(bucketed(rows, "txid", buckets, "spends"), buckets)
+
+
+_SPENT = ["spender", "spend_height", "spend_seen", "is_loaded"]
+
+
+def _first_queue(cases: DataFrame, spends: Spends) -> DataFrame:
+    """The recipient's first output of each reported transaction."""
+    reported = materialize(cases.select("case_id", F.col("fraud_txid").alias("txid"), F.col("recipient")), "trace-reported")
+    paid = spends.of(reported).where(F.col("address") == F.col("recipient"))
+    first = paid.groupBy("case_id", "txid", "address").agg(F.min(F.struct("vout_index", "sats", "flag", *_SPENT)).alias("o"))
+    zero = F.lit(0).cast("bigint")
+    return first.select("case_id", zero.alias("parent"), zero.alias("ord"), zero.alias("used"), "txid", "address", "o.*")
+
+
+def _process(queue: DataFrame, visited: DataFrame | None, depth: int, max_hops: int | None) -> DataFrame:
+    """Decide each queued output in order (of its parent hop, then its own there): its state, whether it makes a hop, and the hop's number."""
+    state = F.when(F.col("spender").isNotNull(), "spent").when(F.col("flag").isNotNull(), "spent_unresolved").otherwise("unspent")
+    queue = queue.withColumn("state", state)
+    first = queue.where("spender IS NOT NULL").groupBy("case_id", "spender").agg(F.min(F.struct("parent", "ord")).alias("f")).select(
+        "case_id", "spender", "f.*", F.lit(True).alias("is_first"))
+    items = queue.join(first, ["case_id", "spender", "parent", "ord"], "left")
     if visited is not None:
-        seen = visited.select("case_id", "spender").withColumn("is_seen", F.lit(True))
-        items = items.join(seen, ["case_id", "spender"], "left")
+        items = items.join(visited.withColumn("is_seen", F.lit(True)), ["case_id", "spender"], "left")
     else:
         items = items.withColumn("is_seen", F.lit(None).cast("boolean"))
-    of_case = Window.partitionBy("case_id").orderBy("ord")
-    of_spender = Window.partitionBy("case_id", "spender").orderBy("ord")
-    is_spend = (F.col("state") == "spent") & F.col("is_seen").isNull()
-    is_hop = is_spend & (F.col("nth") == 1) & F.col("is_loaded")
+    is_new = F.col("is_seen").isNull() & F.coalesce("is_first", F.lit(False))
+    is_hop = is_new & F.col("is_loaded")
     # Without any hop yet, an unresolved spend leaves a record of its own.
     is_stub = (F.col("state") == "spent_unresolved") & (F.col("used") == 0) & F.lit(depth == 1)
-    counted = (
-        items.withColumn("nth", F.row_number().over(of_spender))
-        .withColumn("is_hop", is_hop).withColumn("is_stub", is_stub)
-        .withColumn("makes", (F.col("is_hop") | F.col("is_stub")).cast("int"))
-        .withColumn("before", F.col("used") + F.coalesce(
-            F.sum("makes").over(of_case.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    )
+    counted = running(
+        items.withColumn("is_hop", is_hop).withColumn("is_stub", is_stub).withColumn("makes", (F.col("is_hop") | F.col("is_stub")).cast("int"))
+        .withColumn("is_new", is_new).withColumn("slice", F.floor(F.col("parent") / HOPS_SLICE)),
+        ["case_id"], "slice", ["parent", "ord"], earlier="makes")
+    counted = counted.withColumn("before", F.col("used") + F.col("earlier")).withColumn("total", F.col("used") + F.col("earlier_all"))
     if max_hops is not None:
-        counted = counted.where(F.col("before") < max_hops)
-    return counted.withColumn("total", F.col("used") + F.sum("makes").over(Window.partitionBy("case_id"))).select(
-        "case_id", "ord", F.lit(depth).alias("depth"), "txid", "address", "vout_index", "sats", "state", "spender",
-        "spend_height", "spend_seen", "is_hop", "is_stub", "before", (F.col("before") + 1).alias("hop_no"), "total")
+        counted = counted.where(F.col("before") < max_hops).withColumn("total", F.least("total", F.lit(max_hops)))
+    return counted.select(
+        "case_id", "parent", "ord", F.lit(depth).alias("depth"), "txid", "address", "vout_index", "sats", "state", "spender",
+        "spend_height", "spend_seen", "is_hop", "is_stub", "is_new", "before",
+        (F.col("before") + 1).alias("hop_no"), "total")
 
 
-def _receivers_of(items: DataFrame, ledger: Ledger, known: DataFrame) -> DataFrame:
-    """All outputs of the new hops' transactions with what is known of the address."""
+def _receivers_of(items: DataFrame, spends: Spends, known: DataFrame) -> DataFrame:
+    """All outputs of the new hops' transactions with what is known of the address and of their own spends."""
     hops = items.where("is_hop").select(
         "case_id", "hop_no", F.col("spender").alias("txid"), F.col("address").alias("current"),
         F.col("sats").alias("from_sats"), "total")
-    outs = hops.join(ledger.outputs, "txid").where(F.col("address").isNotNull())
+    outs = spends.of(hops).where(F.col("address").isNotNull())
     is_self = F.col("address") == F.col("current")
     return outs.join(known, "address", "left").select(
-        "case_id", "hop_no", "txid", "from_sats", "total", "vout_index", "address", F.col("amount_sats").alias("sats"),
-        F.col("spent_by_txid").alias("flag"), is_self.alias("is_self"),
+        "case_id", "hop_no", "txid", "from_sats", "total", "vout_index", "address", "sats", "flag", *_SPENT, is_self.alias("is_self"),
         (F.coalesce("is_evidential", F.lit(False)) & ~is_self).alias("is_exchange"),
         (F.coalesce("is_sanctioned", F.lit(False)) & ~is_self).alias("is_sanctioned"),
         "exchange", "label", "source")
@@ -247,12 +277,10 @@ def _next_queue(outs: DataFrame, shown: DataFrame, facts: DataFrame) -> DataFram
     follow = shown.where(~F.col("is_exchange")).join(facts.where(~F.col("is_pooling")).select(*key), key, "left_semi")
     first = (
         outs.join(follow.select(*key, "address").distinct(), [*key, "address"], "left_semi")
-        .groupBy(*key, "address", "txid", "total").agg(F.min(F.struct("vout_index", "sats", "flag")).alias("o"))
+        .groupBy(*key, "address", "txid", "total").agg(F.min(F.struct("vout_index", "sats", "flag", *_SPENT)).alias("o"))
     )
-    order = Window.partitionBy("case_id").orderBy("hop_no", "ord")
     return follow.select(*key, "ord", "address").join(first, [*key, "address"]).select(
-        "case_id", F.row_number().over(order).alias("ord"), F.col("total").alias("used"), "txid", "address",
-        F.col("o.vout_index").alias("vout_index"), F.col("o.sats").alias("sats"), F.col("o.flag").alias("flag"))
+        "case_id", F.col("hop_no").alias("parent"), "ord", F.col("total").alias("used"), "txid", "address", "o.*")
 
 
 def hop_classify(items: DataFrame, facts: DataFrame) -> DataFrame:
@@ -262,11 +290,9 @@ def hop_classify(items: DataFrame, facts: DataFrame) -> DataFrame:
         F.when(is_exchange, exchange).when(is_pooling, pooling).otherwise(plain))
     hit = F.col("first_hit")
     pooled = F.concat(
-        F.lit("Incoming amount "), btc_text(sats_to_btc(F.col("sats"))),
-        F.lit(" BTC was consolidated with third-party funds (output: "), btc_text(sats_to_btc(F.col("max_sats"))),
-        F.lit(" BTC). Mathematical attribution of the stolen funds is no longer possible beyond this point. "
-              "This is consistent with exchange-internal consolidation or a mixing workflow."))
-    found = F.concat(F.lit("Stolen funds flow into "), F.col("names"), F.lit(". Identified via "), hit["source"], F.lit("."))
+        F.lit(POOLED_TEXTS[0]), btc_text(sats_to_btc(F.col("sats"))), F.lit(POOLED_TEXTS[1]), btc_text(sats_to_btc(F.col("max_sats"))),
+        F.lit(POOLED_TEXTS[2]))
+    found = F.concat(F.lit(FOUND_TEXTS[0]), F.col("names"), F.lit(FOUND_TEXTS[1]), hit["source"], F.lit("."))
     level = F.when(is_exchange | is_pooling, "L2").otherwise("L1")
     flags = ["has_exchange", "is_pooling", "is_sanctioned"]
     rows = items.where("is_hop").join(facts.drop("from_sats"), ["case_id", "hop_no"], "left").na.fill(False, flags)
@@ -304,10 +330,9 @@ def endpoint_annotate(hops: DataFrame, legs: DataFrame, ended: DataFrame, known:
     """
     paid = legs.where(F.col("side") == "to").select("case_id", "hop_no", "address").distinct()
     target = ended.join(paid, ["case_id", "address"]).where(F.col("hop_no") <= F.col("before")).groupBy(
-        "case_id", "depth", "ord", "address", "state").agg(F.max("hop_no").alias("hop_no"))
+        "case_id", "depth", "parent", "ord", "address", "state").agg(F.max("hop_no").alias("hop_no"))
     is_exchange = F.coalesce("is_evidential", F.lit(False)) & (F.col("state") == "unspent")
-    unspent = F.concat(F.lit(" UTXO at "), F.substring("address", 1, 20),
-                       F.lit("... remains unspent (as of the analysis timestamp). Funds may still be recoverable."))
+    unspent = F.concat(F.lit(UNSPENT_TEXTS[0]), F.substring("address", 1, 20), F.lit(UNSPENT_TEXTS[1]))
     note = (
         F.when(is_exchange, F.concat(F.lit(" Address identified as "), F.col("exchange"), F.lit(".")))
         .when(F.col("state") == "unspent", unspent)
@@ -316,7 +341,7 @@ def endpoint_annotate(hops: DataFrame, legs: DataFrame, ended: DataFrame, known:
     )
     reason = F.when(is_exchange, "exchange").when(F.col("state") == "unspent", "unspent").otherwise("lookup_incomplete")
     marks = target.join(known, "address", "left").select(
-        "case_id", "hop_no", F.struct("depth", "ord").alias("at"), note.alias("note"), reason.alias("reason"),
+        "case_id", "hop_no", F.struct("depth", "parent", "ord").alias("at"), note.alias("note"), reason.alias("reason"),
         F.when(is_exchange, F.struct("exchange", "source", "label")).alias("hit"))
     folded = marks.groupBy("case_id", "hop_no").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "note"))), lambda m: m["note"]), "").alias("added"),
@@ -336,10 +361,10 @@ def endpoint_annotate(hops: DataFrame, legs: DataFrame, ended: DataFrame, known:
 
 def dedupe_hops(hops: DataFrame, legs: DataFrame) -> Trace:
     """By depth and txid, one record per transaction and first sender, numbered from 1."""
-    same = Window.partitionBy("case_id", "txid", "from_address").orderBy("depth", "hop_no")
-    order = Window.partitionBy("case_id").orderBy("depth", "txid", "hop_no")
-    numbered = hops.withColumn("nth", F.row_number().over(same)).where("nth = 1").drop("nth").withColumn(
-        "hop", F.row_number().over(order))
+    first = hops.groupBy("case_id", "txid", "from_address").agg(F.min(F.struct("depth", "hop_no")).alias("f")).select(
+        "case_id", "f.hop_no")
+    placed = hops.join(first, ["case_id", "hop_no"], "left_semi").withColumn("slice", F.struct("depth", F.substring("txid", 1, 2).alias("head")))
+    numbered = ranked(placed, ["case_id"], "slice", ["depth", "txid", "hop_no"], "hop").drop("slice").withColumn("hop", F.col("hop").cast("int"))
     renumbered = legs.join(numbered.select("case_id", "hop_no", "hop"), ["case_id", "hop_no"]).drop("hop_no")
     return Trace(numbered.drop("hop_no", "from_address").withColumn(
         "confidence_label", confidence_label(F.col("confidence"))), renumbered)
@@ -352,57 +377,69 @@ def known_addresses(attribution: DataFrame) -> DataFrame:
 
 
 class _Pile:
-    """Tables of one shape; each FOLD of them are written as one, so that plans stay small however many levels there are."""
+    """Tables that grow level by level; FOLD levels are written as one, so that plans stay small however many there are, and the
+    tables that those levels were made from are dropped."""
 
-    def __init__(self, name: str) -> None:
-        self.name, self.tiers = name, []
+    def __init__(self, *names: str) -> None:
+        self.names = names
+        self.tiers: list[list[tuple[tuple[DataFrame, ...], tuple[DataFrame, ...]]]] = []
 
-    def add(self, df: DataFrame) -> None:
+    def add(self, *parts: DataFrame, made_from: tuple[DataFrame, ...] = ()) -> None:
+        entry = parts, made_from
         for tier in self.tiers:
-            tier.append(df)
             if len(tier) < FOLD:
+                tier.append(entry)
                 return
-            df = materialize(reduce(DataFrame.unionByName, tier), self.name)
-            tier.clear()
-        self.tiers.append([df])
+            # The levels before this one: nothing else reads them by now.
+            written = tuple(materialize(reduce(DataFrame.unionByName, dfs), name)
+                            for name, dfs in zip(self.names, zip(*[p for p, _ in tier], strict=True), strict=True))
+            discard(*[df for _, sources in tier for df in sources])
+            tier[:] = [entry]
+            entry = written, written
+        self.tiers.append([entry])
 
-    def whole(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, [df for tier in self.tiers for df in tier])
+    def whole(self) -> list[DataFrame]:
+        entries = [p for tier in self.tiers for p, _ in tier]
+        return [reduce(DataFrame.unionByName, dfs) for dfs in zip(*entries, strict=True)]
 
 
 def trace_cases(
-    ledger: Ledger, cases: DataFrame, attribution: DataFrame, max_hops: int | None = None, max_branches: int | None = None
+    ledger: Ledger, cases: DataFrame, attribution: DataFrame, max_hops: int | None = None, max_branches: int | None = None,
+    spends: Spends | None = None,
 ) -> Trace:
     """T5: the trace of every case (case_id, fraud_txid, recipient), level by level until no output is left to follow.
 
     Within a case the queue is first in, first out, so all items of one depth precede those
     of the next; one round treats one depth of all cases. A case follows a transaction once, so
-    the rounds end. ``max_hops`` bounds the records of a case, ``max_branches`` the receivers of a hop, where a caller wants that.
+    the rounds end. A round reads those buckets of the spend table that its transactions lie in. ``max_hops`` bounds the records of a
+    case, ``max_branches`` the receivers of a hop, where a caller wants that. ``spends`` is a table that the caller already has.
     """
+    spends = spends or spend_table(ledger)
     known = materialize(known_addresses(attribution), "known")
-    queue = _first_queue(cases, ledger)
+    queue = materialize(_first_queue(cases, spends), "trace-queue")
     visited: DataFrame | None = None
-    hops, legs, ended = _Pile("trace-hops"), _Pile("trace-legs"), _Pile("trace-ended")
+    found, seen = _Pile("trace-hops", "trace-legs", "trace-ended"), _Pile("trace-seen")
     for depth in count(1):
-        items = materialize(_process(queue, visited, ledger, depth, max_hops), "trace-items")
-        ended.add(items.where(F.col("state").isin("unspent", "spent_unresolved", "unknown") & ~F.col("is_stub")).drop("hop_no"))
+        items = materialize(_process(queue, visited, depth, max_hops), "trace-items")
+        discard(queue)
+        ended = items.where(F.col("state").isin("unspent", "spent_unresolved", "unknown") & ~F.col("is_stub")).drop("hop_no", "is_new")
+        senders = _leg(items.where("is_hop").select("case_id", "hop_no", "address", "sats"), "from")
+        outs = materialize(_receivers_of(items, spends, known), "trace-outs")
+        shown = materialize(hop_outputs(outs, max_branches), "trace-legs")
+        facts = hop_facts(outs)
+        hops, legs = hop_classify(items, facts), senders.unionByName(shown.withColumn("side", F.lit("to")))
         if depth == 1:
-            hops.add(_stubs(items, ledger.transactions))
             stub = items.where("is_stub").select("case_id", "hop_no", "address", "sats")
-            legs.add(_leg(stub, "from").unionByName(_leg(stub, "to")))
+            hops = hops.unionByName(_stubs(items, ledger.transactions))
+            legs = legs.unionByName(_leg(stub, "from")).unionByName(_leg(stub, "to"))
+        seen.add(items.where("is_new").select("case_id", "spender"))
+        found.add(hops, legs, ended, made_from=(items, outs, shown))
         if items.where("is_hop").isEmpty():
             break
-        outs = materialize(_receivers_of(items, ledger, known), "trace-outs")
-        shown = materialize(hop_outputs(outs, max_branches), "trace-legs")
-        facts = hop_facts(outs)
-        hops.add(hop_classify(items, facts))
-        legs.add(_leg(items.where("is_hop").select("case_id", "hop_no", "address", "sats"), "from").unionByName(
-            shown.withColumn("side", F.lit("to"))))
-        spent = items.where((F.col("state") == "spent")).select("case_id", "spender").distinct()
-        visited = materialize(spent if visited is None else visited.unionByName(spent).distinct(), "trace-seen")
-        queue = _next_queue(outs, shown, facts)
-    all_legs = legs.whole()
-    marked = endpoint_annotate(hops.whole(), all_legs, ended.whole(), known)
+        visited = seen.whole()[0]
+        queue = materialize(_next_queue(outs, shown, facts), "trace-queue")
+    all_hops, all_legs, all_ended = found.whole()
+    marked = endpoint_annotate(all_hops, all_legs, all_ended, known)
     result = dedupe_hops(materialize(marked, "trace-hops"), all_legs)
     return Trace(materialize(result.hops, "trace"), materialize(result.legs, "trace"))
 
@@ -457,14 +494,9 @@ def build_hop0(ledger: Ledger, cases: DataFrame, victims: DataFrame, attribution
     hit = F.col("hit")
     is_direct_only = hit.isNotNull() & (hit["ord"] > 0)
     notes = F.concat(
-        F.coalesce("victims", F.lit(0)).cast("string"), F.lit(" victim address(es). Stolen amount: "),
-        btc_text(sats_to_btc(F.col("stolen_sats"))), F.lit(" BTC."),
-        F.when(is_direct_only, F.concat(F.lit(" Direct exchange outputs identified: "), F.col("names"), F.lit(".")))
-        .when(hit.isNotNull(), F.concat(
-            F.lit(" Recipient address directly identified as exchange infrastructure: "), hit["exchange"],
-            F.lit(". Subsequent nodes remain visible for context, without weakening the corroborated exchange "
-                  "attribution at this point.")))
-        .otherwise(""))
+        F.coalesce("victims", F.lit(0)).cast("string"), F.lit(ZERO_TEXTS[0]), btc_text(sats_to_btc(F.col("stolen_sats"))), F.lit(ZERO_TEXTS[1]),
+        F.when(is_direct_only, F.concat(F.lit(DIRECT_TEXT), F.col("names"), F.lit(".")))
+        .when(hit.isNotNull(), F.concat(F.lit(DEPOSIT_TEXTS[0]), hit["exchange"], F.lit(DEPOSIT_TEXTS[1]))).otherwise(""))
     level = F.when(hit.isNotNull(), "L2").otherwise("L1")
     hops = (
         cases.join(amounts, "case_id").join(counts, "case_id", "left").join(found, "case_id").join(blocks, "fraud_txid", "left")
@@ -491,11 +523,11 @@ def build_hop0(ledger: Ledger, cases: DataFrame, victims: DataFrame, attribution
 
 def full_trace(
     ledger: Ledger, cases: DataFrame, victims: DataFrame, attribution: DataFrame, max_hops: int | None = None,
-    max_branches: int | None = None,
+    max_branches: int | None = None, spends: Spends | None = None,
 ) -> Trace:
     """T11 and T5 together: a recipient that is an exchange ends the chain when nothing follows."""
     start = build_hop0(ledger, cases, victims, attribution)
-    rest = trace_cases(ledger, cases, attribution, max_hops, max_branches)
+    rest = trace_cases(ledger, cases, attribution, max_hops, max_branches, spends)
     followed = rest.hops.select("case_id").distinct().withColumn("is_followed", F.lit(True))
     at_recipient = start.legs.where((F.col("side") == "to") & (F.col("ord") == 0) & F.col("is_exchange")).select(
         "case_id", F.lit(True).alias("is_deposit"))
@@ -509,36 +541,38 @@ def full_trace(
 # -- following stored links ----------------------------------------------------------------
 
 
-def ledger_hops(ledger: Ledger, cases: DataFrame, max_hops: int | None = None, max_branches: int | None = None) -> Trace:
+def ledger_hops(
+    ledger: Ledger, cases: DataFrame, max_hops: int | None = None, max_branches: int | None = None, spends: Spends | None = None
+) -> Trace:
     """Breadth first over stored spend links until none is left.
 
     Where a caller gives them, ``max_branches`` bounds the spent outputs per transaction, and ``max_hops`` the records; these are
     counted per level, so the last level may pass it.
     """
-    spent = ledger.outputs.where(F.col("spent_by_txid").isNotNull()).select(
-        "txid", "vout_index", "address", F.col("amount_sats").alias("sats"), F.col("spent_by_txid").alias("to_txid"))
+    spends = spends or spend_table(ledger)
     level = cases.select("case_id", F.col("fraud_txid").alias("txid"), F.lit(1).cast("bigint").alias("pos"),
                          F.lit(0).cast("bigint").alias("used"))
     visited: DataFrame | None = None
-    found = _Pile("ledger-hops")
+    found, seen = _Pile("ledger-hops"), _Pile("ledger-seen")
     while True:
         level = materialize(level, "ledger-level")
-        seen = level.select("case_id", F.col("txid").alias("to_txid"), "pos")
-        if visited is not None:
-            seen = seen.unionByName(visited)
-        candidates = top_per(level.join(spent, "txid"), ["case_id", "txid", "pos", "used"], [F.col("vout_index")], max_branches)
+        candidates = spends.of(level).where("flag IS NOT NULL").select(
+            *level.columns, "vout_index", "address", "sats", F.col("flag").alias("to_txid"))
+        if max_branches is not None:
+            candidates = top_per(candidates, ["case_id", "txid", "pos", "used"], [F.col("vout_index")], max_branches)
         # A spender counts as visited when it was expanded before, or earlier (or just now) in this level.
-        earlier = seen.groupBy("case_id", "to_txid").agg(F.min("pos").alias("seen_pos"))
+        own = level.select("case_id", F.col("txid").alias("to_txid"), "pos")
+        earlier = (own if visited is None else own.unionByName(visited.withColumn("pos", F.lit(0).cast("bigint")))).groupBy(
+            "case_id", "to_txid").agg(F.min("pos").alias("seen_pos"))
         fresh = candidates.join(earlier, ["case_id", "to_txid"], "left").where(
-            F.col("seen_pos").isNull() | (F.col("seen_pos") > F.col("pos")))
-        order = Window.partitionBy("case_id").orderBy("pos", "vout_index")
-        records = materialize(fresh.select(
-            "case_id", (F.col("used") + F.row_number().over(order)).alias("hop"), "txid", "to_txid", "address", "sats"),
-            "ledger-hops")
-        found.add(records)
+            F.col("seen_pos").isNull() | (F.col("seen_pos") > F.col("pos"))).withColumn("slice", F.floor(F.col("pos") / HOPS_SLICE))
+        records = materialize(ranked(fresh, ["case_id"], "slice", ["pos", "vout_index"], "place").select(
+            "case_id", (F.col("used") + F.col("place")).alias("hop"), "txid", "to_txid", "address", "sats"), "ledger-hops")
+        found.add(records, made_from=(records,))
         if records.isEmpty():
             break
-        visited = materialize(seen.select("case_id", "to_txid", F.lit(0).cast("bigint").alias("pos")).distinct(), "ledger-seen")
+        seen.add(level.select("case_id", F.col("txid").alias("to_txid")), made_from=(level,))
+        visited = seen.whole()[0]
         nxt = records.groupBy("case_id", F.col("to_txid").alias("txid")).agg(F.min("hop").alias("pos"))
         totals = records.groupBy("case_id").agg(F.max("hop").alias("used"))
         if max_hops is not None:
@@ -548,7 +582,7 @@ def ledger_hops(ledger: Ledger, cases: DataFrame, max_hops: int | None = None, m
             .join(visited.select("case_id", F.col("to_txid").alias("txid")), ["case_id", "txid"], "left_anti")
             .select("case_id", "txid", "pos", "used")
         )
-    return _ledger_trace(found.whole(), ledger)
+    return _ledger_trace(found.whole()[0], ledger)
 
 
 def _ledger_trace(records: DataFrame, ledger: Ledger) -> Trace:
