@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerspark.functions.rank import top_per
 from ledgerspark.operators.sweep import Sweep, expanded, folded, sweep
-from ledgerspark.session import materialize
+from ledgerspark.session import discard, materialize
 
 
 def spenders(inputs: DataFrame) -> DataFrame:
@@ -67,7 +67,48 @@ def _extend(paths: DataFrame, edges: DataFrame, hop: int) -> DataFrame:
 def k_hop_exposure(
     seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_hops: int = 3, limit: int | None = None,
 ) -> DataFrame:
-    """Per seed the nearest addresses with the number of simple paths to them.
+    """Per seed the nearest addresses with the number of simple paths to them; ``limit`` keeps the first of each seed.
+
+    Up to three hops no path is listed: walks are counted by joining counts with edges, and those that come back are taken away. A
+    walk of two edges comes back at the seed only. One of three edges that avoids the seed comes back at its first address c,
+    as often as c has partners with edges both ways, the seed aside. Such an address is one hop away, so its distance is known. Addresses are
+    numbers in their order meanwhile.
+    """
+    if max_hops > 3:
+        return _listed_exposure(seeds, inputs, outputs, max_hops, limit)
+    pairs = materialize(address_edges(inputs, outputs), "pairs")
+    wanted = seeds.select(F.col("seed").alias("address")).where("address IS NOT NULL").distinct()
+    names = pairs.select(F.col("src").alias("address")).union(pairs.select("dst")).union(wanted).distinct()
+    # Sorted and written, so that numbers follow the order of the addresses and stay as they are.
+    names = materialize(names.orderBy("address").withColumn("id", F.monotonically_increasing_id()), "names")
+    number = lambda df, column, out: df.join(names.select(F.col("address").alias(column), F.col("id").alias(out)), column)
+    edges = materialize(number(number(pairs, "src", "a"), "dst", "b").select("a", "b"), "edges")
+    discard(pairs)
+    start = number(wanted.withColumnRenamed("address", "seed"), "seed", "s").select("s")
+    counted = lambda rows: rows.where("s <> c").groupBy("s", "c").agg(F.sum("paths").alias("paths"))
+    step = lambda rows: rows.join(edges, F.col("c") == F.col("a")).select("s", F.col("b").alias("c"), "paths")
+    one = F.lit(1).cast("bigint")
+    first = materialize(start.join(edges, F.col("s") == F.col("a")).select("s", F.col("b").alias("c"), one.alias("paths")), "one-hop")
+    parts = [first.withColumn("hop", F.lit(1))]
+    if max_hops > 1:
+        second = materialize(counted(step(first)), "two-hops")
+        parts.append(second.withColumn("hop", F.lit(2)))
+    if max_hops > 2:
+        mutual = edges.join(edges.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi")
+        partners = mutual.groupBy(F.col("a").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+        own = mutual.select(F.col("a").alias("c"), F.col("b").alias("s"), one.alias("own"))
+        returns = first.join(partners, "c").join(own, ["s", "c"], "left").select(
+            "s", "c", (F.coalesce("own", F.lit(0)) - F.col("n")).alias("paths"), F.lit(3).alias("hop"))
+        third = step(second).where("s <> c").withColumn("hop", F.lit(3))
+        parts += [third, returns]
+    exposure = reduce(DataFrame.unionByName, parts).groupBy("s", "c").agg(F.min("hop").alias("min_hop"), F.sum("paths").alias("path_count"))
+    ranked = top_per(exposure, ["s"], [F.col("min_hop"), F.col("path_count").desc(), F.col("c")], limit)
+    return ranked.join(names.select(F.col("id").alias("s"), F.col("address").alias("seed")), "s").join(
+        names.select(F.col("id").alias("c"), "address"), "c").select("seed", "address", "min_hop", "path_count", "rank")
+
+
+def _listed_exposure(seeds: DataFrame, inputs: DataFrame, outputs: DataFrame, max_hops: int, limit: int | None) -> DataFrame:
+    """G4 beyond three hops.
 
     Paths are listed only up to ``max_hops - 1``. The last hop is counted: walks that add
     one edge to a path, less those that step back onto the path. A seed with ``limit``
