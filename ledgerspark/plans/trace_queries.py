@@ -643,7 +643,28 @@ def _(spark, sf):
     return flow.custody_legs(_one_hop(spark, sf))
 
 
-@query("t23_report_digest")
+def _json(columns: str) -> str:
+    """The row as Spark writes it: fields that are null are left out; a ``:n`` after a name marks a number or truth value."""
+    field = lambda c: (
+        f"coalesce(',\"{c[:-2]}\":' || {c[:-2]}, '')" if c.endswith(":n") else f"coalesce(',\"{c}\":' || CAST(to_json({c}) AS VARCHAR), '')")
+    return "'{' || substr(" + " || ".join(field(c) for c in columns.split()) + ", 2) || '}'"
+
+
+part("digest_legs", f"""
+SELECT case_id, hop, sha256(string_agg(h, chr(10) ORDER BY side, slice, h)) AS legs FROM (
+  SELECT case_id, hop, side, ord // 1024 AS slice, sha256(string_agg(j, chr(10) ORDER BY ord, address, j)) AS h
+  FROM (SELECT *, {_json("ord:n address sats:n is_exchange:n")} AS j FROM full_legs) GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""")
+part("digest_hops", f"""
+SELECT case_id, string_agg(h, chr(10) ORDER BY hop, h) AS hops FROM (
+  SELECT case_id, hop, sha256({_json("block:n chain_end_reason confidence confidence_label depth:n exchange exchange_source hop:n is_sanctioned:n "
+                                     "label method notes timestamp txid legs")}) AS h
+  FROM (SELECT *, CASE confidence WHEN 'L2' THEN '{trace.CONFIDENCE_LABELS["L2"]}' ELSE '{trace.CONFIDENCE_LABELS["L1"]}' END AS confidence_label
+        FROM full_hops) LEFT JOIN digest_legs USING (case_id, hop)) GROUP BY 1""")
+
+
+@query("t23_report_digest", sql(f"""
+SELECT case_id, sha256(concat_ws(chr(10), hops, {_json("case_id fraud_amount_eur:n fraud_txid incident_date recipient")})) AS report_hash
+FROM (SELECT * REPLACE (strftime(incident_date, '%Y-%m-%dT%H:%M:%S.000') AS incident_date) FROM fraud_cases) LEFT JOIN digest_hops USING (case_id)"""))
 def _(spark, sf):
     return flow.report_digest(_full(spark, sf), _cases(spark, sf))
 
