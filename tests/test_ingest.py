@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerspark import session
 from ledgerspark.functions.labels import canonical_exchange_name, compliance_contact, is_evidential, short_address
 from ledgerspark.functions.money import btc_text, btc_to_sats
-from ledgerspark.operators import attribution, normalize, quality, upsert
+from ledgerspark.operators import attribution, normalize, quality, trace, upsert
 from ledgerspark.operators.ledger import Ledger
 from ledgerspark.sources import readers, sinks
 from ledgerspark.streaming import ingest
@@ -64,6 +64,27 @@ def test_single_transactions_in_both_dialects(spark, tmp_path):
     assert ins.where("txid = 'cb'").count() == 0 and outs.where("txid = 'cb'").count() == 2
 
 
+def test_embedded_prevouts_speak_where_the_ledger_is_silent(spark, tmp_path):
+    node = {"txid": "n", "blockhash": "h", "blockheight": 5, "vin": [
+        {"prevout": {"scriptpubkey_address": "victim", "value": 0.25015009}}, {"txid": "cb", "vout": 0, "prevout": {"scriptPubKey": {"address": "other"}, "value": 1}},
+        {"txid": "zz", "vout": 3, "prevout": {"scriptPubKey": {"addresses": ["second", "third"]}, "value": 2}}, {"coinbase": "03"}, {"txid": "zz", "vout": 4}],
+        "vout": [{"n": 0, "value": 0.25015009, "scriptPubKey": {"address": "thief"}}]}
+    explorer = {"txid": "e", "status": {"confirmed": True, "block_height": 9}, "vin": [
+        {"txid": "yy", "vout": 0, "prevout": {"scriptpubkey_address": "victim", "value": 700}}], "vout": []}
+    raw = readers.read_transactions(spark, write(tmp_path / "p", node, explorer))
+    embedded = normalize.embedded_prevouts(raw)
+    inputs = normalize.input_rows(raw.withColumn("tx", F.struct(*raw.columns)))
+    outputs = normalize.normalize_outputs(readers.read_blocks(spark, write(tmp_path / "b", BLOCK)))
+    resolved = normalize.resolve_prevouts(inputs, outputs, embedded)
+    got = {(r.txid, r.vin_index): (r.address, r.amount_sats) for r in resolved.collect()}
+    assert got == {("n", 0): ("victim", 25_015_009), ("n", 1): ("m", 625_000_000), ("n", 2): ("second", 200_000_000), ("n", 3): (None, None),
+                   ("n", 4): (None, None), ("e", 0): ("victim", 700)}
+    cases = spark.createDataFrame([("c", "n", "thief")], "case_id string, fraud_txid string, recipient string")
+    owners = spark.createDataFrame([("c", "victim")], "case_id string, address string")
+    assert trace.victim_amount(cases, owners, resolved).first().victim_sats == 25_015_009
+    assert normalize.resolve_prevouts(inputs, outputs, embedded.limit(0)).where("txid = 'e' AND address IS NOT NULL").count() == 0
+
+
 @pytest.mark.parametrize("text,sats", [("0.000000005", 1), ("0.0000000049", 0), ("20999999.9769", 2_099_999_997_690_000), (None, None)])
 def test_btc_to_sats(spark, text, sats):
     assert spark.range(1).select(btc_to_sats(F.lit(text).cast("decimal(38,10)")).alias("s")).first().s == sats
