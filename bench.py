@@ -13,7 +13,7 @@ from ledgerspark.sources import fixture
 
 HEADLINE = [
     "g3_reachable", "p8_pattern_signals",
-    "g1_address_edges", "g4_k_hop_exposure", "g5_entity_exposure", "g6_tx_stats",
+    "g1_address_edges", "g4_k_hop_exposure", "g4_k_hop_exposure_full", "g5_entity_exposure", "g6_tx_stats",
     "r8_batch_risk", "a8_resolve_addresses", "k2_cio_clusters", "n7_resolve_prevouts", "u4_link_spent_outputs",
     "t5_trace_cases", "t12_ledger_hops", "c6_actor_matches", "e5_data_quality", "w1_stream_ingest", "w2_error_rate",
     "w3_latency_p95", "h7_window_24h_volume", "h10_peeling_chain",
