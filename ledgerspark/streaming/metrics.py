@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ledgerspark.functions.rank import ranked
+from ledgerspark.functions.rank import ranked, running
 
 LATE_AFTER = "10 minutes"
 
@@ -116,27 +116,28 @@ def absence(metrics: DataFrame, minutes: int = ABSENT_MINUTES) -> DataFrame:
     """W5 on a table: silences longer than ``minutes``.
 
     Such a silence leaves its minute, so only the first and last row of each minute are
-    ordered, not every sample.
+    ordered, not every sample. Minutes are ordered within their day; the first row of the next day
+    that has any comes from one row a day.
     """
     edge = metrics.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(
-        F.min("ts").alias("first"), F.max("ts").alias("last"))
-    after = F.lead("first").over(Window.orderBy("minute"))
+        F.min("ts").alias("first"), F.max("ts").alias("last")).withColumn("day", F.date_trunc("day", "minute"))
+    days = edge.groupBy("day").agg(F.min("first").alias("first")).select("day", F.lead("first").over(Window.orderBy("day")).alias("next_day"))
+    inside = F.lead("first").over(Window.partitionBy("day").orderBy("minute"))
     gap = F.unix_micros("next") - F.unix_micros("last")
-    return edge.select("last", after.alias("next")).where(gap > minutes * 60_000_000).select(
-        F.col("last").alias("silent_from"), F.col("next").alias("silent_until"))
+    return edge.withColumn("inside", inside).join(days, "day").select("last", F.coalesce("inside", "next_day").alias("next")).where(
+        gap > minutes * 60_000_000).select(F.col("last").alias("silent_from"), F.col("next").alias("silent_until"))
 
 
 def sustained_alert(windows: DataFrame, hold_minutes: int) -> DataFrame:
     """W6 on a table: runs of breaching windows that last ``hold_minutes``; one row per run.
 
-    ``windows`` has one row per window, far fewer than samples.
+    Calm windows are numbered within their day, with what came before carried over one row a day; breaches under one number are a run.
     """
-    order = Window.orderBy("window_start")
-    islands = (
-        windows.withColumn("calm", F.sum((~F.col("is_breach")).cast("int")).over(order)).where("is_breach")
-        .groupBy("calm").agg(F.min("window_start").alias("pending_from"), F.max("window_end").alias("until"),
-                             F.count(F.lit(1)).alias("windows"))
-    )
+    numbered = running(
+        windows.withColumns({"calm": (~F.col("is_breach")).cast("int"), "day": F.date_trunc("day", "window_start")}),
+        [], "day", ["window_start"], run="calm")
+    islands = numbered.where("is_breach").groupBy("run").agg(
+        F.min("window_start").alias("pending_from"), F.max("window_end").alias("until"), F.count(F.lit(1)).alias("windows"))
     held = (F.unix_timestamp("until") - F.unix_timestamp("pending_from")) / 60
     return islands.where(held >= hold_minutes).select("pending_from", "until", "windows")
 
