@@ -410,16 +410,20 @@ def report_digest(trace: Trace, cases: DataFrame) -> DataFrame:
 
 
 def case_summary(trace: Trace, endpoints: DataFrame, amounts: DataFrame) -> DataFrame:
-    """Per case how many hops, endpoints, sanctioned hops and freeze requests, and the amount."""
+    """Per case how many hops, endpoints, sanctioned hops and freeze requests, the amount, and the names of the exchanges.
+
+    The names are those of known services, so their list is short whatever the case.
+    """
     hops = trace.hops.groupBy("case_id").agg(
         F.count(F.lit(1)).alias("hops_found"), F.count_if("is_sanctioned").alias("sanctioned_addresses"))
     ends = endpoints.groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("exchanges_identified"), F.count_distinct("name").alias("freeze_requests_generated"))
+        F.count(F.lit(1)).alias("exchanges_identified"), F.count_distinct("name").alias("freeze_requests_generated"),
+        F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("exchanges"))
     zero = F.lit(0).cast("bigint")
     return hops.join(amounts, "case_id").join(ends, "case_id", "left").select(
         "case_id", "hops_found", "sanctioned_addresses", F.coalesce("exchanges_identified", zero).alias("exchanges_identified"),
         F.coalesce("freeze_requests_generated", zero).alias("freeze_requests_generated"),
-        btc_text(sats_to_btc(F.col("stolen_sats"))).alias("actual_amount_btc"))
+        btc_text(sats_to_btc(F.col("stolen_sats"))).alias("actual_amount_btc"), F.coalesce("exchanges", F.lit("")).alias("exchanges"))
 
 
 def investigation_addresses(trace: Trace, cases: DataFrame) -> DataFrame:

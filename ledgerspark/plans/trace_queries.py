@@ -671,10 +671,11 @@ def _(spark, sf):
 
 part("summary", f"""
 SELECT h.case_id, h.hops_found, h.sanctioned_addresses, coalesce(e.n, 0) AS exchanges_identified,
-       coalesce(e.names, 0) AS freeze_requests_generated, {_BTC.format('a.stolen_sats')} AS actual_amount_btc
+       coalesce(e.names, 0) AS freeze_requests_generated, {_BTC.format('a.stolen_sats')} AS actual_amount_btc, coalesce(e.exchanges, '') AS exchanges
 FROM (SELECT case_id, count(*) AS hops_found, count(*) FILTER (is_sanctioned) AS sanctioned_addresses FROM all_hops GROUP BY 1) h
 JOIN case_amounts a USING (case_id)
-LEFT JOIN (SELECT case_id, count(*) AS n, count(DISTINCT name) AS names FROM endpoints GROUP BY 1) e USING (case_id)""")
+LEFT JOIN (SELECT case_id, count(*) AS n, count(DISTINCT name) AS names, string_agg(DISTINCT name, ', ' ORDER BY name) AS exchanges
+           FROM endpoints GROUP BY 1) e USING (case_id)""")
 whole("summary")
 
 
