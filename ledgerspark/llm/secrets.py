@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import Shelf, apart, slices
+from ledgerspark.llm.common import Shelf, apart, release, slices
 
 SCOPE = 400
 """Code points that two parts of one credential may lie apart."""
@@ -100,6 +100,7 @@ def _scan(batches):
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), _FIELDS.values(), strict=True)], names=list(_FIELDS))
+    release()
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -171,6 +172,7 @@ def _redact(batches):
         columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
         keep = [i for i, n in enumerate(batch.schema.names) if n != "_spans"]
         yield pa.RecordBatch.from_arrays([columns[i] for i in keep], names=[batch.schema.names[i] for i in keep])
+    release()
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import Shelf, apart, components, runs, slices, with_key
+from ledgerspark.llm.common import Shelf, apart, components, release, runs, slices, with_key
 
 SHINGLE = 4
 SEED = 42
@@ -63,6 +63,7 @@ def _fingerprints(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(np.array(prints, np.uint64).view(np.int64))],
                 names=["doc_id", "_key", "fp"])
+    release()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -235,6 +236,7 @@ def links(prints: DataFrame) -> DataFrame:
 def _by_bucket(frames):
     for _, pdf in runs(frames, ["part", "masked", "key", "x", "y"]):
         yield _forest(pdf)
+    release()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

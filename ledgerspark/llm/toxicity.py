@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import apart, slices
+from ledgerspark.llm.common import apart, release, slices
 
 WINDOW = 32
 STRIDE = 16
@@ -294,7 +294,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | None:
 
     def run(frames):
         pdf = pd.concat(list(frames)).sort_values("doc_id")
-        yield pd.DataFrame({"net": [pickle.dumps(train(pdf["text"].tolist(), pdf["toxic"].tolist()))]})
+        net = pickle.dumps(train(pdf["text"].tolist(), pdf["toxic"].tolist()))
+        del pdf
+        yield pd.DataFrame({"net": [net]})
+        release()
 
     got = sample.coalesce(1).mapInPandas(run, "net binary").collect()
     return pickle.loads(bytes(got[0][0])) if got else None
@@ -312,6 +315,7 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_score"])
         if shared.value is not None:
             shared.value.forget()  # the worker goes on to other tasks
+        release()
 
     return docs.mapInArrow(run, fields)
 
