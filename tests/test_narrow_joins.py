@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import heuristics, trace
+from ledgerspark.operators import clusters, heuristics, trace
 from ledgerspark.plans import trace_queries as tq
 from ledgerspark.sources import fixture as fx
 
@@ -38,3 +38,11 @@ def test_change_hints_move_a_row_to_its_address_and_to_its_transaction(spark):
         ("u", 0): (False, False, False, True, False), ("u", 1): (False, False, False, True, True),
         ("v", 0): (False, False, False, False, False), ("v", 1): (True, False, True, False, True)}
     assert plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_co_inputs_move_to_their_transaction_and_as_pairs(spark):
+    inputs = spark.createDataFrame(
+        [("t", "b"), ("t", "a"), ("t", "b"), ("u", "a"), ("u", "b"), ("v", "c"), ("v", None), (None, "d"), (None, "e")], "txid string, address string")
+    edges = clusters.co_input_edges(inputs)
+    assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert [tuple(r) for r in edges.collect()] == [("b", "a")]
