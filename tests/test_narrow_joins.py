@@ -46,3 +46,43 @@ def test_co_inputs_move_to_their_transaction_and_as_pairs(spark):
     edges = clusters.co_input_edges(inputs)
     assert edges._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
     assert [tuple(r) for r in edges.collect()] == [("b", "a")]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_ledger_is_grouped_and_joined_where_it_lies(spark, monkeypatch):
+    monkeypatch.setattr(fx, "LEAST_BUCKETS", 3)
+    ledger = fx._derive(spark, SF)
+    key = spark.range(5).select(fx.txid_of(F.col("id")).alias("txid")).hint("merge")
+    assert "Exchange" not in _plan(ledger.outputs.groupBy("txid").agg(F.max("amount_sats")))
+    assert "Exchange" not in _plan(ledger.inputs.hint("merge").join(ledger.transactions, "txid"))
+    for df in (ledger.inputs, ledger.outputs, ledger.transactions):
+        assert _plan(df.join(key, "txid", "left_semi")).count("Exchange hashpartitioning") == 1
+
+
+def test_first_outputs_come_from_the_buckets_where_they_are(spark):
+    spends, cases = tq._spends(spark, SF), fx.fraud_cases(spark, SF)
+    wide = trace.Spends(spends.table.hint("merge"), spends.buckets)
+    queue = trace._first_queue(cases, wide)
+    assert _plan(queue).count("Exchange hashpartitioning") == 1
+    want = cases.join(fx.ledger(spark, SF).outputs, (F.col("txid") == F.col("fraud_txid")) & (F.col("address") == F.col("recipient"))).groupBy(
+        "case_id").agg(F.min("vout_index").alias("vout_index"))
+    assert queue.count() == want.count() > 0
+    assert queue.select("case_id", "vout_index").exceptAll(want).isEmpty()
+
+
+def test_spends_meet_their_outputs_by_one_move(spark):
+    outputs = spark.createDataFrame(
+        [("t", 0, "a", 5, "u"), ("t", 1, "b", 6, None), ("t", 2, None, 7, "x"), ("u", 0, "c", 8, None), ("u", 0, "d", 9, None)],
+        "txid string, vout_index int, address string, amount_sats bigint, spent_by_txid string")
+    inputs = spark.createDataFrame(
+        [("v", "t", 0), ("u", "t", 0), ("x", "t", 2), ("u", "u", 0), ("u", "ext1", 0), ("u", None, None), ("v", "t", None)],
+        "txid string, prev_txid string, prev_vout bigint")
+    transactions = spark.createDataFrame([("t", 1, None), ("u", 4, None), ("v", 3, None)], "txid string, block_height bigint, first_seen timestamp")
+    table = trace.spend_table(trace.Ledger(None, transactions, inputs, outputs)).table
+    got = sorted(tuple(r) for r in table.select("txid", "vout_index", "sats", "flag", "spender", "spend_height", "is_loaded").collect())
+    assert got == [("t", 0, 5, "u", "v", 3, True), ("t", 1, 6, None, None, None, False), ("t", 2, 7, "x", "x", None, False),
+                   ("u", 0, 8, None, "u", 4, True), ("u", 0, 9, None, "u", 4, True)]
+    assert table.schema["vout_index"].dataType.simpleString() == "int"
