@@ -120,10 +120,6 @@ def allocate(costs: np.ndarray, total: int) -> tuple[float, list[int]]:
     return best[total + len(costs)]
 
 
-def _neighbours(width: int, threshold: int) -> int:
-    return sum(math.comb(width, k) for k in range(threshold + 1))
-
-
 def _part_key(bits: list[int]):
     """The part's bits of ``fp`` side by side, as a column."""
     key = F.lit(0).cast("long")
@@ -160,8 +156,8 @@ def plan_parts(prints: DataFrame) -> list[tuple[list[int], int]]:
             for o in odds:  # elementary symmetric sums: expected pairs at 1, 2, ... differing bits for each equal pair
                 grown = np.convolve(grown, [1.0, o])[:DISTANCE + 1]
             for t in range(DISTANCE + 1):
-                # A probe costs as much as comparing some fifty candidates: it is a shuffled row.
-                row.append(pairs * grown[:t + 1].sum() + 50.0 * n * _neighbours(len(bits), -(-t // 2) if t else 0) if t < 3 else float("inf"))
+                # A probe costs as much as comparing some fifty candidates: it is a shuffled row, one for each choice of t bits.
+                row.append(pairs * grown[:t + 1].sum() + 50.0 * n * math.comb(len(bits), t) if t < 3 else float("inf"))
             costs.append(row)
         cost, thresholds = allocate(np.array(costs), DISTANCE - m + 1)
         choices.append((cost, m, [(bits, t) for bits, t in zip(groups, thresholds, strict=True) if t >= 0]))
@@ -173,15 +169,14 @@ def probes(prints: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
 
     Threshold 0 has the part's value as its key. For 1 and 2 both sides drop bits: keys are the value with
     each choice of ``threshold`` bits masked out, which two values that differ in at most those bits share.
+    A part's value is worked out once a row and the choices are one constant, so the plan, which the driver holds, does not grow with them.
     """
-    rows = []
-    for i, (bits, t) in enumerate(parts):
-        key = _part_key(bits)
-        for masked in combinations(range(len(bits)), t):
-            mask = ~sum(1 << b for b in masked)
-            rows.append(F.struct(F.lit(i).alias("part"), F.lit(sum(1 << b for b in masked)).cast("long").alias("masked"),
-                                 key.bitwiseAND(F.lit(mask)).alias("key")))
-    return prints.select("fp", F.explode(F.array(*rows)).alias("p")).select("fp", "p.*")
+    values = F.array(*[F.struct(F.lit(i).alias("part"), _part_key(bits).alias("value")) for i, (bits, _) in enumerate(parts)])
+    masks = [[sum(1 << b for b in masked) for masked in combinations(range(len(bits)), t)] for bits, t in parts]
+    constant = F.expr(f"array({', '.join('array(' + ', '.join(f'{m}L' for m in own) + ')' for own in masks)})")
+    valued = prints.select("fp", F.explode(values).alias("p")).select("fp", "p.*")
+    return valued.select("fp", "part", "value", F.explode(F.element_at(constant, F.col("part") + 1)).alias("masked")).select(
+        "fp", "part", "masked", F.col("value").bitwiseAND(F.bitwise_not("masked")).alias("key"))
 
 
 def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
